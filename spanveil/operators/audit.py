@@ -106,11 +106,17 @@ def text_summary(anonymized: DataFrame, keys: list[str], text_col: str = "text")
     )
 
 
+def with_lane(anonymized: DataFrame) -> DataFrame:
+    """Add the verdict and ``lane`` (clean or quarantine): write it with ``partitionBy("lane")`` to split in one pass."""
+    return with_verdict(anonymized).withColumn("lane", F.when(F.col("clean"), "clean").otherwise("quarantine"))
+
+
 def gate(anonymized: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split into clean rows and quarantined rows (both with the verdict)."""
+    """Clean rows and quarantined rows as two tables (both with the verdict). Using both from the same unwritten input
+    computes it twice; ``with_lane`` does not."""
     judged = with_verdict(anonymized)
-    kept = [*keys, "anonymized", "count", "detected_types", "severity"]
-    return judged.where("clean").select(*kept), judged.where("NOT clean").select(*kept)
+    columns = [*keys, "anonymized", "count", "detected_types", "severity"]
+    return judged.where("clean").select(*columns), judged.where("NOT clean").select(*columns)
 
 
 def gate_passes(anonymized: DataFrame) -> bool:
@@ -119,11 +125,7 @@ def gate_passes(anonymized: DataFrame) -> bool:
 
 
 def profile(occurrences: DataFrame, dims: list[str]) -> DataFrame:
-    """Occurrences and texts per dimension and type, with subtotals (rollup of a pre-aggregated table)."""
-    per_text = occurrences.groupBy(*dims, "placeholder", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per_text.groupBy(*dims, "placeholder")
-        .agg(F.sum("n").alias("n_found"), F.count(F.lit(1)).alias("n_docs"))
-        .rollup(*dims, "placeholder")
-        .agg(F.sum("n_found").alias("n_found"))
-    )
+    """Occurrences per dimension and type with subtotals. Counted first, so that only totals are expanded for the
+    subtotals and no source, however large, meets in one task."""
+    counts = occurrences.groupBy(*dims, "placeholder").agg(F.count(F.lit(1)).alias("n"))
+    return counts.rollup(*dims, "placeholder").agg(F.sum("n").alias("n_found"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from spanveil.functions.text import chunks_of, empty_array, scan, slice_text, strip
 from spanveil.operators.spans import NEIGHBOUR_CLASS, SPAN
 
-BROADCAST_ROWS = 1_000_000  # names are short strings: a table of this size is some tens of megabytes
+BROADCAST_BYTES = 128 << 20
+ROW_OVERHEAD = 64
 
 
 def prepare_names(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -34,7 +35,10 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
     lengths = [r[0] for r in names.select("pieces").distinct().collect()]
     if not lengths:
         return texts.select(key, F.lit(0).alias("start"), F.lit(0).alias("len")).where(F.lit(False))
-    fits = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = names.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")
+    ).first()
+    fits = size["bytes"] + ROW_OVERHEAD * size["rows"] <= BROADCAST_BYTES
     side = F.broadcast(names) if fits else names
 
     low = texts.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import empty_array, let, scan
+from spanveil.operators.skew import kept, lookup_join
 
 TAG = r"\[[^\[\]]+\]"
 FEW_TAGS = 16
@@ -92,6 +93,20 @@ def deanonymize(
 
 
 def restore_from_vault(
+    redacted: DataFrame, vault: DataFrame, key: str, text_col: str = "anonymized", out: str = "restored"
+) -> DataFrame:
+    """Restore texts from the vault of per-text redaction ``(key, tag, value, first)``; a text's map is gathered from
+    its own vault rows. Rows without tags stay as they are."""
+    maps = vault.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("first", "tag", "value"))), lambda e: F.struct(e["tag"], e["value"])
+        ).alias("__veil_entries")
+    )
+    joined = redacted.join(maps, key, "left").withColumn("__veil_map", F.map_from_entries("__veil_entries"))
+    return deanonymize(joined, text_col, "__veil_map", out).drop("__veil_map", "__veil_entries")
+
+
+def restore_from_scope_vault(
     redacted: DataFrame,
     vault: DataFrame,
     key: str,
@@ -99,17 +114,16 @@ def restore_from_vault(
     text_col: str = "anonymized",
     out: str = "restored",
 ) -> DataFrame:
-    """Restore rows of ``redacted`` from a vault table ``(scope, tag, value)``; rows without tags stay as they are.
+    """Restore texts that were numbered over a scope, from its vault ``(scope, tag, value)``.
 
-    Only the tags that a row uses travel: they are joined to the vault by (scope, tag) and gathered per row. A scope's
-    whole vault is never collected, and a scope that holds a large part of all rows spreads over its tags. A tag used
-    by very many rows is split further by a salt on the using side only if the vault side is replicated; AQE's skew
-    join does that at run time where a partition really is too large.
+    A scope's vault is never gathered: only the tags a text uses are looked up by (scope, tag), heavily used tags apart
+    (see ``lookup_join``), and grouped per text.
     """
-    uses = redacted.select(
-        F.col(key), F.col(scope), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(TAG), F.lit(0)))).alias("tag")
-    ).where(F.col("tag").isNotNull())
-    known = uses.join(vault.select(scope, "tag", "value"), [scope, "tag"])
+    tags = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(TAG), F.lit(0)))
+    uses = kept(
+        redacted.select(F.col(key), F.col(scope), F.explode_outer(tags).alias("tag")).where(F.col("tag").isNotNull())
+    )
+    known = lookup_join(uses, vault.select(scope, "tag", "value"), [scope, "tag"])
     maps = known.groupBy(key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "value")))).alias("__veil_map")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.checks import normal_value
 from spanveil.functions.text import chunks_of, slice_text
+from spanveil.operators.skew import lookup_join
 
 BUCKETS = 1024
 
@@ -101,11 +102,14 @@ def vault(numbered: DataFrame, scope: str | None = None) -> DataFrame:
 
 
 def document_vault(anonymized: DataFrame, key: str) -> DataFrame:
-    """The vault of per-text redaction: one row per text and tag."""
+    """The vault of per-text redaction: one row per text and tag, with the position of the tag's first value."""
     return (
         anonymized.select(key, F.explode_outer("entities").alias("e"))
         .where(F.col("e").isNotNull())
-        .select(key, F.col("e.tag").alias("tag"), F.col("e.type").alias("type"), F.col("e.value").alias("value"))
+        .select(
+            key, F.col("e.tag").alias("tag"), F.col("e.type").alias("type"),
+            F.col("e.value").alias("value"), F.col("e.first").alias("first"),
+        )
     )
 
 
@@ -121,13 +125,17 @@ def redact_in_scope(
     """Replace every occurrence in ``texts`` by the tag of its entity in the scope.
 
     ``occurrences`` are the resolved spans (``findings`` with the key and scope columns); they meet the numbered
-    entities on (scope, type, normal form) and are gathered per text, which bounds a group by one text.
+    entities on (scope, type, normal form), heavy entities apart (see ``lookup_join``), and are gathered per text, which
+    bounds a group by one text. Pass a kept table of occurrences so that the texts are searched only once.
     """
     key = [key] if isinstance(key, str) else key
     scope_keys = [scope] if scope else []
-    keyed = occurrences.withColumn("norm", normal_value(F.col("value"), F.col("placeholder")))
-    tagged = keyed.join(
-        numbered.select(*scope_keys, "placeholder", "norm", "tag"), [*scope_keys, "placeholder", "norm"]
+    keyed = occurrences.select(
+        *dict.fromkeys([*key, *scope_keys]), "start", "end", "placeholder",
+        normal_value(F.col("value"), F.col("placeholder")).alias("norm"),
+    )
+    tagged = lookup_join(
+        keyed, numbered.select(*scope_keys, "placeholder", "norm", "tag"), [*scope_keys, "placeholder", "norm"]
     )
     per_text = tagged.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("__spans"))
     joined = texts.join(per_text, key, "left").withColumn("__chunks", chunks_of(F.col(text_col)))

@@ -14,7 +14,8 @@ from spanveil.operators import audit, custom_join, evaluate, scope
 from spanveil.operators.detectors import detector_catalogue
 from spanveil.operators.dictionaries import Dictionaries, NameLists
 from spanveil.operators.redact import anonymize, findings
-from spanveil.operators.restore import deanonymize, restore_from_vault
+from spanveil.operators.restore import deanonymize, restore_from_scope_vault, restore_from_vault
+from spanveil.operators.skew import kept
 from spanveil.operators.spans import RAW, RuleSet, with_raw_spans
 from spanveil.plans import document_sql as sql
 from spanveil.plans.sentences import SENTENCE_SETS, digits, luhn_sql
@@ -217,9 +218,9 @@ def redact_documents(spark, sf):
     return core_anonymized(spark, sf).select("doc_id", "anonymized", F.col("count").cast("bigint").alias("n_found"))
 
 
-@register("vault", f"{sql.DOC_TAGS}, {sql.ENTITIES} SELECT doc_id, tag, type, value FROM ents")
+@register("vault", f"{sql.DOC_TAGS}, {sql.ENTITIES} SELECT doc_id, tag, type, value, first FROM ents")
 def vault(spark, sf):
-    return scope.document_vault(core_anonymized(spark, sf), "doc_id")
+    return longs(scope.document_vault(core_anonymized(spark, sf), "doc_id"), "first")
 
 
 @register("roundtrip_ok", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
@@ -230,13 +231,9 @@ def roundtrip_ok(spark, sf):
 
 @register("vault_restore", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
 def vault_restore(spark, sf):
-    """Redact, keep only the redacted text and the vault, and restore by a join."""
-    done = core_anonymized(spark, sf)
-    restored = restore_from_vault(
-        done.select("doc_id", F.col("doc_id").alias("owner"), "anonymized"),
-        scope.document_vault(done, "doc_id").withColumnRenamed("doc_id", "owner"),
-        "doc_id", "owner",
-    )
+    """Redact, keep only the redacted texts and the vault, and restore them by a join."""
+    done = kept(core_anonymized(spark, sf).select("doc_id", "anonymized", "entities"))
+    restored = restore_from_vault(done.select("doc_id", "anonymized"), scope.document_vault(done, "doc_id"), "doc_id")
     return (
         restored.join(texts(spark, sf).where(F.col("text").rlike(r"\S")), "doc_id")
         .select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("ok"))
@@ -254,10 +251,10 @@ def masked_findings(spark, sf):
 
 
 @register("context_snippets", (
-    f"{sql.DOC_TAGS}, {sql.ENTITIES}, p AS (SELECT e.*, d.text, strpos(d.text, e.value) - 1 AS at FROM ents e JOIN documents d USING (doc_id)) "
-    "SELECT doc_id, tag, CASE WHEN at > 30 THEN '...' ELSE '' END || replace(substr(text, greatest(at - 30, 0) + 1, "
-    "least(at + length(value) + 30, length(text)) - greatest(at - 30, 0)), chr(10), ' ') || "
-    "CASE WHEN at + length(value) + 30 < length(text) THEN '...' ELSE '' END AS context FROM p"
+    f"{sql.DOC_TAGS}, {sql.ENTITIES}, p AS (SELECT e.*, d.text, strpos(d.text, e.value) - 1 AS spot FROM ents e JOIN documents d USING (doc_id)) "
+    "SELECT doc_id, tag, CASE WHEN spot > 30 THEN '...' ELSE '' END || replace(substr(text, greatest(spot - 30, 0) + 1, "
+    "least(spot + length(value) + 30, length(text)) - greatest(spot - 30, 0)), chr(10), ' ') || "
+    "CASE WHEN spot + length(value) + 30 < length(text) THEN '...' ELSE '' END AS context FROM p"
 ))
 def context_snippets(spark, sf):
     report = audit.entity_report(core_anonymized(spark, sf), ["doc_id"])
@@ -337,14 +334,13 @@ def severity_gate(spark, sf):
     "FROM documents d LEFT JOIN v USING (doc_id) GROUP BY ALL",
 )
 def gate_split(spark, sf):
-    clean, quarantined = audit.gate(core_anonymized(spark, sf, "lang"), ["doc_id", "lang"])
-    both = clean.withColumn("lane", F.lit("clean")).unionByName(quarantined.withColumn("lane", F.lit("quarantine")))
-    return both.groupBy("lang", "lane").agg(F.count(F.lit(1)).alias("n_docs"))
+    judged = audit.with_lane(core_anonymized(spark, sf, "lang"))
+    return judged.groupBy("lang", "lane").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # ------------------------------------------------------------------------------------------------ wider scopes
 def _occurrences(spark, sf) -> DataFrame:
-    return findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"], detectors=CORE)
+    return kept(findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"], detectors=CORE))
 
 
 _SCOPE_HITS = f"{sql.core_hits()}"
@@ -390,13 +386,28 @@ def corpus_numbering(spark, sf):
 def scope_redaction(spark, sf):
     """Texts redacted with numbers that are consistent over their source."""
     found = _occurrences(spark, sf)
-    numbered = scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source")
+    bounds = scope.position_bounds(found, "doc_id", 64)
+    numbered = scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source", bounds)
     done = scope.redact_in_scope(
         documents(spark, sf).select("doc_id", "source", "text"), found, numbered, "doc_id", "source"
     )
     return done.select("doc_id", F.when(F.col("text").rlike(r"\S"), F.col("anonymized")).otherwise("").alias("anonymized"))
 
 
+@register("scope_restore", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
+def scope_restore(spark, sf):
+    """Texts redacted over their source and restored from the source's vault."""
+    found = _occurrences(spark, sf)
+    bounds = scope.position_bounds(found, "doc_id", 64)
+    numbered = kept(
+        scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source", bounds)
+    )
+    source = documents(spark, sf).select("doc_id", "source", "text").where(F.col("text").rlike(r"\S"))
+    done = scope.redact_in_scope(source, found, numbered, "doc_id", "source")
+    restored = restore_from_scope_vault(done, scope.vault(numbered, "source"), "doc_id", "source")
+    return restored.select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("ok"))
+
+
 _TURN = (
     "'reply to ' || role || cast(conv_id % 7 as string) || '@example.com or +1 555-' || "
     f"{digits('conv_id % 3 + turn % 2', 3)} || '-4567 .'"
@@ -414,8 +425,9 @@ _TURN = (
 def conversation_scope(spark, sf):
     """Turns of a conversation share their numbering."""
     turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id").selectExpr("conv_id", "turn", f"{_TURN} AS text")
-    found = findings(turns, ["conv_id", "turn"], detectors=["email", "phone_intl"])
-    numbered = scope.number_entities(scope.entities_in_scope(found, "conv_id", ["turn", "start"]), "conv_id")
+    found = kept(findings(turns, ["conv_id", "turn"], detectors=["email", "phone_intl"]))
+    bounds = scope.position_bounds(found, "turn", 64)
+    numbered = scope.number_entities(scope.entities_in_scope(found, "conv_id", ["turn", "start"]), "conv_id", bounds)
     done = scope.redact_in_scope(turns, found, numbered, ["conv_id", "turn"], "conv_id")
     return done.select("conv_id", "turn", "anonymized")
 

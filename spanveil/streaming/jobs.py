@@ -3,7 +3,7 @@ they are; here are the stateful parts and the sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -58,14 +58,39 @@ def rate_per_window(
 def rate_per_session(
     occurrences: DataFrame, time_col: str, user_col: str, gap: str, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Findings per user session (a session ends after ``gap`` without a finding)."""
-    return (
-        occurrences.withWatermark(time_col, lateness)
-        .groupBy(F.session_window(time_col, gap).alias("session"), user_col)
-        .agg(F.count(F.lit(1)).alias("n_found"))
-        .select(
-            user_col, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"), "n_found"
+    """Findings per user session (a session ends after ``gap`` without a finding).
+
+    On a stream this is a session window. On a table a session window would bring all rows of a user to one task; there
+    sessions are built per user and slice of time first, and only those partial sessions meet per user.
+    """
+    if occurrences.isStreaming:
+        return (
+            occurrences.withWatermark(time_col, lateness)
+            .groupBy(F.session_window(time_col, gap).alias("session"), user_col)
+            .agg(F.count(F.lit(1)).alias("n_found"))
+            .select(
+                user_col, F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"),
+                "n_found",
+            )
         )
+    pause = F.expr(f"INTERVAL {gap}")
+
+    def merged(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Join neighbouring partial sessions that are less than the gap apart."""
+        order = Window.partitionBy(*by).orderBy("first_ts", "last_ts")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        fresh = (F.col("first_ts") >= F.max("last_ts").over(before) + pause) | F.max("last_ts").over(before).isNull()
+        marked = rows.withColumn("__no", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*by, "__no").agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n")
+        ).drop("__no")
+
+    points = occurrences.groupBy(user_col, F.col(time_col).alias("first_ts")).agg(F.count(F.lit(1)).alias("n"))
+    sliced = points.withColumn("last_ts", F.col("first_ts")).withColumn("__slice", F.date_trunc("hour", "first_ts"))
+    partial = merged(sliced, [user_col, "__slice"])
+    return merged(partial.drop("__slice"), [user_col]).select(
+        user_col, F.col("first_ts").alias("session_start"), (F.col("last_ts") + pause).alias("session_end"),
+        F.col("n").alias("n_found"),
     )
 
 
