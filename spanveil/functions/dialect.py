@@ -13,6 +13,7 @@ SPACE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{30
 SPACE_CLASS = f"[{SPACE}]"
 NON_SPACE_CLASS = f"[^{SPACE}]"
 WORD_START = r"(?<!\w)"
+FIRST_LETTERS = 6
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
@@ -81,6 +82,13 @@ def one_of(words: list[str]) -> str:
     Java tries a flat list of alternatives one after the other at every position; sharing prefixes leaves one branch
     per letter. Which alternative matches first is irrelevant because callers fix both ends of the match.
     """
+    letters = sorted({w[0] for w in words if w})
+    if len(letters) > FIRST_LETTERS and all(ch.isalnum() for ch in letters):
+        # A look-ahead per group of first letters skips the whole group at once.
+        groups = [letters[i : i + FIRST_LETTERS] for i in range(0, len(letters), FIRST_LETTERS)]
+        return "(?:" + "|".join(
+            f"(?=[{''.join(group)}])" + one_of([w for w in words if w[:1] in group]) for group in groups
+        ) + ")"
     tree: dict = {}
     for word in words:
         node = tree

@@ -11,6 +11,7 @@ from spanveil.functions.dialect import NON_SPACE_CLASS, SPACE_CLASS
 
 CHUNK_BITS = 12  # texts are cut into chunks of 4096 characters for slicing
 SCAN_BLOCK = 128
+MARK = "\uffff"  # a Unicode non-character; texts that do contain it take the path without marks
 
 
 def empty_array(element_type: str) -> Column:
@@ -112,8 +113,9 @@ def slice_text(chunks: Column, start: Column, length: Column) -> Column:
 class TextView:
     """A text column with the derived columns the detectors read."""
 
-    def __init__(self, text: Column, lower: Column, chunks: Column, has_digit: Column):
+    def __init__(self, text: Column, lower: Column, chunks: Column, has_digit: Column, has_mark: Column):
         self.text = text
+        self.has_mark = has_mark
         self.lower = lower
         self.chunks = chunks
         self.has_digit = has_digit
@@ -131,7 +133,15 @@ class TextView:
 
     def mentions(self, *words: str) -> Column:
         """Cheap byte search: does the text hold one of ``words`` in any letter case?"""
-        found = self.lower.contains(words[0])
-        for word in words[1:]:
-            found = found | self.lower.contains(word)
-        return found
+        return _contains_any(self.lower, words)
+
+    def holds(self, *words: str) -> Column:
+        """The same in exactly this letter case."""
+        return _contains_any(self.text, words)
+
+
+def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    found = text.contains(words[0])
+    for word in words[1:]:
+        found = found | text.contains(word)
+    return found

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as fixed
 from spanveil.functions.checks import digits_of, luhn_ok
 from spanveil.functions.dialect import BOUNDARY, NON_SPACE_CLASS, SPACE_CLASS, WORD_START, java_regex, one_of
-from spanveil.functions.text import TextView, empty_array, let, scan
+from spanveil.functions.text import MARK, TextView, empty_array, let, scan
 from spanveil.operators.dictionaries import NameLists
 
 MATCH = "struct<seq:int,gap:int,m:string,v:string,line:int>"
@@ -25,6 +25,8 @@ SAME_LINE, PLAIN_LINE, RECORD_LINE, OPEN_LINE = range(4)  # what the gap before
 WS = SPACE_CLASS
 STREET_END = rf"{WS}+(?:{'|'.join(fixed.STREET_KINDS)}){BOUNDARY}"
 
+TITLES = "Mr Ms Miss Dr Prof Sir Dame Lady Rev Capt Sgt".split()  # every title contains one of these
+
 Guard = Callable[[TextView], Column]
 Rule = Callable[[TextView, Column], Column]
 
@@ -43,15 +45,15 @@ class Detector:
     reads_lines: bool = False
 
 
-MARK = "\uffff"  # a Unicode non-character; texts that do contain it take the path without marks
-
-
-def matches(text: Column, regex: str, seq: int, captures: bool = False, reads_lines: bool = False) -> Column:
+def matches(
+    view: TextView, regex: str, seq: int, captures: bool = False, reads_lines: bool = False, text: Column | None = None
+) -> Column:
     """Every non-overlapping match with the length of the gap before it; one more entry without match for the tail.
 
     Empty if nothing matches. The matches are wrapped in marks by one replacement and the text is then cut at the
     marks: one regular-expression pass, and Spark keeps the compiled pattern from row to row (``split`` would not).
     """
+    text = view.text if text is None else text
     per_match = 3 if captures else 2
     marked = F.regexp_replace(text, F.lit(regex), F.lit(f"{MARK}$0{MARK}$1{MARK}" if captures else f"{MARK}$0{MARK}"))
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
@@ -77,7 +79,7 @@ def matches(text: Column, regex: str, seq: int, captures: bool = False, reads_li
         pairs = F.arrays_zip(whole.alias("m"), values.alias("v"))
         return F.zip_with(F.split(text, regex, -1), pairs, lambda gap, pair: entry(gap, pair["m"], pair["v"]))
 
-    return F.when(text.contains(MARK), listed()).otherwise(
+    return F.when(view.has_mark, listed()).otherwise(
         let(F.split(marked, MARK, -1), cut)
     )
 
@@ -130,7 +132,7 @@ def located(view: TextView, entries: Column) -> Column:
 
 def detector_matches(view: TextView, det: Detector, seq: int) -> Column:
     """The detector's match list, or an empty array without looking where a byte search rules out a match."""
-    found = matches(view.text, det.regex, seq, det.captures, det.reads_lines)
+    found = matches(view, det.regex, seq, det.captures, det.reads_lines)
     return found if det.guard is None else F.when(det.guard(view), found).otherwise(empty_array(MATCH))
 
 
@@ -247,7 +249,7 @@ _GUARDS: dict[str, Guard] = {
     "email": _mentions("@"),
     "phone_intl": _mentions_and_digit("+"),
     "date_dob": _mentions_and_digit("dob", "birth", "born"),
-    "name_title": None,
+    "name_title": lambda view: view.holds(*TITLES),
     "name_dictionary": None,
     "device_id": _mentions("dev"),
     "session_id": _mentions("sess", "token"),

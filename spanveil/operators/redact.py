@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.checks import normal_value
 from spanveil.functions.text import TextView, compute_once, empty_array, let, scan
 from spanveil.operators.dictionaries import Dictionaries
-from spanveil.operators.spans import CHUNKS, RAW, SPANS, TEXT, RuleSet, with_raw_spans, resolve
+from spanveil.operators.spans import RAW, SPANS, RuleSet, resolve, rules_for, with_raw_spans
 
 GROUPED = "struct<kind:int,first:int,start:int,len:int,seq:int,value:string>"
 TAGGED = "struct<start:int,len:int,seq:int,kind:int,first:int,n:int,value:string>"
@@ -83,24 +83,16 @@ def tag_text(rules: RuleSet, kind: Column, n: Column, multi: Column) -> Column:
     )
 
 
-def with_entities(df: DataFrame, view: TextView, rules: RuleSet) -> DataFrame:
-    """Numbered spans, the types with several entities, and one entry per entity (tag, type, last raw value)."""
-    df = df.withColumn(SPANS, resolve(F.col(RAW)))
-    df = df.withColumn(
-        TAGS, F.when(F.size(SPANS) > 0, numbered(view, rules, F.col(SPANS))).otherwise(empty_array(TAGGED))
-    )
-    df = df.withColumn(
-        MULTI,
-        F.array_distinct(F.transform(F.filter(F.col(TAGS), lambda x: x["n"] > 1), lambda x: x["kind"])),
-    )
+def entity_list(rules: RuleSet) -> Column:
+    """One entry per entity in order of appearance; an entity's last raw value counts."""
 
-    # By (first, start): entities in order of appearance, each entity's spans together, the last one decides its value.
-    def entity_list(runs: Column) -> Column:
-        lasts = F.filter(
+    # By (first, start) an entity's spans stand together, the last one closing the group.
+    def lasts(runs: Column) -> Column:
+        closing = F.filter(
             runs, lambda x, i: (i == F.size(runs) - 1) | (F.get(runs, i + 1)["first"] != x["first"])
         )
         return F.transform(
-            lasts,
+            closing,
             lambda x: F.struct(
                 tag_text(rules, x["kind"], x["n"], F.col(MULTI)).alias("tag"),
                 rules.kind_name(x["kind"]).alias("type"),
@@ -118,8 +110,19 @@ def with_entities(df: DataFrame, view: TextView, rules: RuleSet) -> DataFrame:
             ),
         )
     )
+    return let(by_entity, lasts)
+
+
+def with_entities(df: DataFrame, view: TextView, rules: RuleSet) -> DataFrame:
+    """Numbered spans, the types with several entities, and one entry per entity (tag, type, last raw value)."""
+    several = lambda: F.array_distinct(
+        F.transform(F.filter(F.col(TAGS), lambda x: x["n"] > 1), lambda x: x["kind"])
+    )
+    tags = lambda: F.when(F.size(SPANS) > 0, numbered(view, rules, F.col(SPANS))).otherwise(empty_array(TAGGED))
+    df = df.withColumn(SPANS, rules.once("resolved", lambda: resolve(F.col(RAW))))
+    df = df.withColumn(TAGS, rules.once("tags", tags)).withColumn(MULTI, rules.once("multi", several))
     return compute_once(df, **{
-        TAGS: F.col(TAGS), MULTI: F.col(MULTI), ENTITIES: let(by_entity, entity_list),
+        TAGS: F.col(TAGS), MULTI: F.col(MULTI), ENTITIES: rules.once("entities", lambda: entity_list(rules)),
     })
 
 
@@ -143,7 +146,7 @@ def rendered(view: TextView, rules: RuleSet, tags: Column, multi: Column) -> Col
 
 
 def _prepared(df, text_col, detectors, dictionaries, extra=None):
-    rules = RuleSet(detectors, dictionaries)
+    rules = rules_for(detectors, dictionaries)
     before = df.columns
     df, view = with_raw_spans(df, text_col, rules, extra)
     return with_entities(df, view, rules), view, rules, before
@@ -164,7 +167,7 @@ def anonymize(
     df, view, rules, before = _prepared(df, text_col, detectors, dictionaries, extra_spans)
     tags, multi, entities = F.col(TAGS), F.col(MULTI), F.col(ENTITIES)
     out = {
-        "anonymized": rendered(view, rules, tags, multi),
+        "anonymized": rules.once("anonymized", lambda: rendered(view, rules, tags, multi)),
         "entity_map": F.map_from_entries(
             F.transform(entities, lambda e: F.struct(e["tag"].alias("key"), e["value"].alias("value")))
         ),
@@ -175,6 +178,22 @@ def anonymize(
     return df.select(*[F.col(f"`{c}`") for c in before if c not in out], *[v.alias(k) for k, v in out.items()])
 
 
+def _public_spans(rules: RuleSet) -> Column:
+    return F.transform(
+        F.col(TAGS),
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            (x["start"] + x["len"]).alias("end"),
+            x["seq"].alias("det_seq"),
+            rules.per_source([s.id for s in rules.sources], x["seq"]).alias("detector"),
+            rules.per_source([s.label for s in rules.sources], x["seq"]).alias("label"),
+            rules.kind_name(x["kind"]).alias("placeholder"),
+            x["value"].alias("value"),
+            tag_text(rules, x["kind"], x["n"], F.col(MULTI)).alias("tag"),
+        ),
+    )
+
+
 def detect(
     df: DataFrame,
     text_col: str = "text",
@@ -184,20 +203,23 @@ def detect(
 ) -> DataFrame:
     """Add ``spans``: the resolved spans with offsets (in characters), source, type, value and tag."""
     df, view, rules, before = _prepared(df, text_col, detectors, dictionaries, extra_spans)
-    spans = F.transform(
-        F.col(TAGS),
+    spans = rules.once("public_spans", lambda: _public_spans(rules))
+    return df.select(*[F.col(f"`{c}`") for c in before if c != "spans"], spans.alias("spans"))
+
+
+def _public_raw_spans(rules: RuleSet, view: TextView) -> Column:
+    return F.transform(
+        F.array_sort(F.col(RAW)),
         lambda x: F.struct(
             x["start"].alias("start"),
             (x["start"] + x["len"]).alias("end"),
             x["seq"].alias("det_seq"),
             rules.per_source([s.id for s in rules.sources], x["seq"]).alias("detector"),
             rules.per_source([s.label for s in rules.sources], x["seq"]).alias("label"),
-            rules.kind_name(x["kind"]).alias("placeholder"),
-            x["value"].alias("value"),
-            tag_text(rules, x["kind"], x["n"], F.col(MULTI)).alias("tag"),
+            rules.placeholder(x["seq"]).alias("placeholder"),
+            view.slice(x["start"], x["len"]).alias("value"),
         ),
     )
-    return df.select(*[F.col(f"`{c}`") for c in before if c != "spans"], spans.alias("spans"))
 
 
 def findings(
@@ -213,20 +235,9 @@ def findings(
     ``raw`` lists every span of every detector, overlapping ones included (without tags).
     """
     if raw:
-        rules = RuleSet(detectors, dictionaries)
+        rules = rules_for(detectors, dictionaries)
         out, view = with_raw_spans(df, text_col, rules)
-        spans = F.transform(
-            F.array_sort(F.col(RAW)),
-            lambda x: F.struct(
-                x["start"].alias("start"),
-                (x["start"] + x["len"]).alias("end"),
-                x["seq"].alias("det_seq"),
-                rules.per_source([s.id for s in rules.sources], x["seq"]).alias("detector"),
-                rules.per_source([s.label for s in rules.sources], x["seq"]).alias("label"),
-                rules.placeholder(x["seq"]).alias("placeholder"),
-                view.slice(x["start"], x["len"]).alias("value"),
-            ),
-        )
+        spans = rules.once("raw_spans", lambda: _public_raw_spans(rules, view))
         out = out.select(*keys, F.explode_outer(spans).alias("span"))
     else:
         out = detect(df, text_col, detectors, dictionaries).select(*keys, F.explode_outer("spans").alias("span"))

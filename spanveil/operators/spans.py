@@ -7,15 +7,18 @@ start, then specific types, then shorter, then detector order. ``rank = len - 10
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as fixed
 from spanveil.functions.checks import digits_of, luhn_ok
 from spanveil.functions.dialect import NON_SPACE_CLASS, SPACE_CLASS, WORD_START, java_regex, literal, one_of
-from spanveil.functions.text import TextView, chunks_of, compute_once, empty_array, let, scan, strip
+from spanveil.functions.text import MARK, TextView, chunks_of, compute_once, empty_array, let, scan, strip
 from spanveil.operators.detectors import MATCH, Detector, builtin_detectors, detector_matches, located, matches
 from spanveil.operators.dictionaries import Dictionaries
 
@@ -44,10 +47,31 @@ class Source:
     placeholder: str
 
 
+@lru_cache(maxsize=64)
+def _rules_of(application: str, detectors: tuple[str, ...] | None, dictionaries: Dictionaries) -> RuleSet:
+    return RuleSet(None if detectors is None else list(detectors), dictionaries)
+
+
+def rules_for(detectors: list[str] | None = None, dictionaries: Dictionaries | None = None) -> RuleSet:
+    """The rule set of a call; calls with the same detectors and dictionaries share it and the columns built from it."""
+    application = SparkContext._active_spark_context.applicationId
+    return _rules_of(application, None if detectors is None else tuple(detectors), dictionaries or Dictionaries())
+
+
 class RuleSet:
     """All sources of spans of one call, in detection order."""
 
+    def once(self, name: str, build: Callable[[], Column]) -> Column:
+        """A column that depends only on the rules and the ``__veil_*`` columns: built on first use, then shared.
+
+        Building the larger ones takes seconds of calls between Python and the JVM.
+        """
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
     def __init__(self, detectors: list[str] | None = None, dictionaries: Dictionaries | None = None):
+        self._built: dict[str, Column] = {}
         self.dictionaries = dictionaries or Dictionaries()
         self.builtins: list[Detector] = builtin_detectors(self.dictionaries.lists, detectors)
         self.sources = [
@@ -112,7 +136,11 @@ def seed_spans(view: TextView, rules: RuleSet) -> Column:
         F.filter(lines, is_seed),
         lambda line: rules.span(F.instr(view.text, line) - 1, F.length(line), 0),
     )
-    possible = view.lower.rlike(rf"{WORD_START}(?:{one_of(fixed.SEED_WORDS)})(?!\w)")
+    # With half of the words being seed words, two of them are neighbours or have one word between them.
+    word = one_of(fixed.SEED_WORDS)
+    possible = view.lower.rlike(
+        rf"{WORD_START}{word}{WS}++(?:{NON_SPACE_CLASS}++{WS}++)?{word}(?!\w)"
+    )
     return F.when(possible, found).otherwise(empty_array(SPAN))
 
 
@@ -137,7 +165,7 @@ def custom_name_spans(view: TextView, rules: RuleSet) -> Column:
         )
         return F.transform(found, lambda c: rules.span(c["s"], F.length(c["v"]), 1))
 
-    lower_view = TextView(view.lower, view.lower, chunks_of(view.lower), view.has_digit)
+    lower_view = TextView(view.lower, view.lower, chunks_of(view.lower), view.has_digit, view.has_mark)
 
     def view_lower_slice(start: Column, length: Column) -> Column:
         return lower_view.slice(start, length)
@@ -173,18 +201,18 @@ def regex_spans(view: TextView, rules: RuleSet) -> Column:
     and the candidates for keyword numbers (``seq`` -1). One pass places them all, one lambda applies all rules."""
     lists, checks = [], []
     for name in rules.names_alone:
-        found = matches(view.lower, literal(name), 1)
+        found = matches(view, literal(name), 1, text=view.lower)
         lists.append(F.when(view.lower.contains(name), found).otherwise(empty_array(MATCH)))
     if rules.names_alone:
         checks.append((1, name_stands_alone))
     for i, pattern in enumerate(rules.dictionaries.patterns):
-        lists.append(matches(view.text, pattern.java, rules.first_pattern + i))
+        lists.append(matches(view, pattern.java, rules.first_pattern + i))
     for i, det in enumerate(rules.builtins):
         lists.append(detector_matches(view, det, rules.first_builtin + i))
         if det.rule is not None:
             checks.append((rules.first_builtin + i, det.rule))
     number = java_regex(fixed.CONTEXT_NUMBER, word_start=True)
-    lists.append(F.when(view.has_digit, matches(view.text, number, NUMBER)).otherwise(empty_array(MATCH)))
+    lists.append(F.when(view.has_digit, matches(view, number, NUMBER)).otherwise(empty_array(MATCH)))
 
     def accepted(h: Column) -> Column:
         test = F.lit(True)
@@ -270,8 +298,8 @@ def resolve(spans: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------------------------ on a table
-TEXT, LOWER, CHUNKS, DIGIT, RAW, SPANS = (
-    f"__veil_{n}" for n in ("text", "lower", "chunks", "digit", "raw", "spans")
+TEXT, LOWER, CHUNKS, DIGIT, MARKED, RAW, SPANS = (
+    f"__veil_{n}" for n in ("text", "lower", "chunks", "digit", "marked", "raw", "spans")
 )
 
 
@@ -285,9 +313,10 @@ def with_view(df: DataFrame, text_col: str) -> tuple[DataFrame, TextView]:
             LOWER: F.lower(F.col(TEXT)),
             CHUNKS: chunks_of(F.col(TEXT)),
             DIGIT: F.col(TEXT).rlike("[0-9]"),
+            MARKED: F.col(TEXT).contains(MARK),
         }
     )
-    return df, TextView(F.col(TEXT), F.col(LOWER), F.col(CHUNKS), F.col(DIGIT))
+    return df, TextView(F.col(TEXT), F.col(LOWER), F.col(CHUNKS), F.col(DIGIT), F.col(MARKED))
 
 
 def is_not_blank(text: Column) -> Column:
@@ -297,16 +326,19 @@ def is_not_blank(text: Column) -> Column:
 def with_raw_spans(df: DataFrame, text_col: str, rules: RuleSet, extra: Column | None = None) -> tuple[DataFrame, TextView]:
     """Every span of every source, before overlaps are resolved. ``extra`` may add spans found by a join."""
     df, view = with_view(df, text_col)
-    parts = [seed_spans(view, rules), regex_spans(view, rules)]
+    parts = [
+        rules.once("seed", lambda: seed_spans(view, rules)),
+        rules.once("regex", lambda: regex_spans(view, rules)),
+    ]
     if rules.dictionaries.names:
-        parts.append(custom_name_spans(view, rules))
+        parts.append(rules.once("names", lambda: custom_name_spans(view, rules)))
     if extra is not None:
         parts.append(extra)
     df = df.withColumn(RAW, F.concat(*parts))
-    return compute_once(df, **{RAW: classified(view, rules, F.col(RAW))}), view
+    return compute_once(df, **{RAW: rules.once("classified", lambda: classified(view, rules, F.col(RAW)))}), view
 
 
 def with_spans(df: DataFrame, text_col: str, rules: RuleSet, extra: Column | None = None) -> tuple[DataFrame, TextView]:
     """Resolved spans in ``__veil_spans``; every step is a narrow projection."""
     df, view = with_raw_spans(df, text_col, rules, extra)
-    return df.withColumn(SPANS, resolve(F.col(RAW))), view
+    return df.withColumn(SPANS, rules.once("resolved", lambda: resolve(F.col(RAW)))), view

@@ -16,7 +16,7 @@ from spanveil.operators.dictionaries import Dictionaries, NameLists
 from spanveil.operators.redact import anonymize, findings
 from spanveil.operators.restore import deanonymize, restore_from_scope_vault, restore_from_vault
 from spanveil.operators.skew import kept
-from spanveil.operators.spans import RAW, RuleSet, with_raw_spans
+from spanveil.operators.spans import RAW, rules_for, with_raw_spans
 from spanveil.plans import document_sql as sql
 from spanveil.plans.sentences import SENTENCE_SETS, digits, luhn_sql
 from spanveil.sources.texts import anonymize_columns, read_table
@@ -127,7 +127,7 @@ def seed_phrases(spark, sf):
 )
 def pii_counts_by_doc(spark, sf):
     """Raw hits per text and detector; a plain projection, no shuffle."""
-    rules = RuleSet(CORE)
+    rules = rules_for(CORE)
     df, _ = with_raw_spans(texts(spark, sf), "text", rules)
 
     def count_of(det_id: str):
