@@ -671,7 +671,7 @@ def sliding_pii(spark, sf):
 
 
 @register("session_pii", (
-    f"WITH {_EVENT_HITS}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' "
+    f"WITH {_EVENT_HITS}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '2 hours' "
     "THEN 0 ELSE 1 END AS fresh FROM e), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) "
     "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '2 hours' AS session_end, count(*) AS n_found FROM n GROUP BY user_id, s"
 ))

@@ -76,10 +76,10 @@ def rate_per_session(
     pause = F.expr(f"INTERVAL {gap}")
 
     def merged(rows: DataFrame, by: list[str]) -> DataFrame:
-        """Join neighbouring partial sessions that are less than the gap apart."""
+        """Join neighbouring partial sessions that are at most the gap apart, as a session window does."""
         order = Window.partitionBy(*by).orderBy("first_ts", "last_ts")
         before = order.rowsBetween(Window.unboundedPreceding, -1)
-        fresh = (F.col("first_ts") >= F.max("last_ts").over(before) + pause) | F.max("last_ts").over(before).isNull()
+        fresh = (F.col("first_ts") > F.max("last_ts").over(before) + pause) | F.max("last_ts").over(before).isNull()
         marked = rows.withColumn("__no", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return marked.groupBy(*by, "__no").agg(
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n")
