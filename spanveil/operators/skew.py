@@ -14,13 +14,15 @@ HOT_KEYS = 10_000
 def kept(df: DataFrame) -> DataFrame:
     """The rows computed once and written to the checkpoint folder, which survives the loss of executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local session) a new temporary
-    folder is taken.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a local session takes a new temporary
+    folder and a cluster session must set it (a machine-local folder would be lost with its machine).
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanveil-checkpoint-"))
     return df.checkpoint(eager=True)
 

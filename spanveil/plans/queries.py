@@ -55,10 +55,10 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ detectors on sentences
-CUSTOM_DICTIONARIES = Dictionaries().add_names(["Satoshi Nakamoto", "kraken_admin", "maria de maria"]).add_patterns(
+CUSTOM_DICTIONARIES = Dictionaries().add_names(["Quentin Blackwood", "ops_admin", "maria de maria"]).add_patterns(
     [
-        {"regex": r"EMP-\d{6}", "label": "Employee ID", "placeholder": "EMPLOYEE_ID"},
-        {"regex": r"\bPRJ-\d{4}\b", "flags": "g", "label": "Project Code", "placeholder": "PROJECT_ID"},
+        {"regex": r"STAFF-\d{6}", "label": "Employee ID", "placeholder": "EMPLOYEE_ID"},
+        {"regex": r"\bTASK-\d{4}\b", "flags": "g", "label": "Project Code", "placeholder": "PROJECT_ID"},
     ]
 )
 

@@ -217,15 +217,15 @@ NAMES = SentenceSet("customer", "c_custkey", [
 ], ["name_dictionary"])
 
 CUSTOM = SentenceSet("orders", K, [
-    Sentence(f"'badge emp-' || {digits(K, 6)} || ' entered'", [Expect("custom_Employee ID", "EMPLOYEE_ID", f"'emp-' || {digits(K, 6)}")]),
-    Sentence(f"'ref PRJ-' || {digits(K, 4)} || '; emp-' || {digits(K, 6)}", [
-        Expect("custom_Project Code", "PROJECT_ID", f"'PRJ-' || {digits(K, 4)}"),
-        Expect("custom_Employee ID", "EMPLOYEE_ID", f"'emp-' || {digits(K, 6)}"),
+    Sentence(f"'badge staff-' || {digits(K, 6)} || ' entered'", [Expect("custom_Employee ID", "EMPLOYEE_ID", f"'staff-' || {digits(K, 6)}")]),
+    Sentence(f"'ref TASK-' || {digits(K, 4)} || '; staff-' || {digits(K, 6)}", [
+        Expect("custom_Project Code", "PROJECT_ID", f"'TASK-' || {digits(K, 4)}"),
+        Expect("custom_Employee ID", "EMPLOYEE_ID", f"'staff-' || {digits(K, 6)}"),
     ]),
-    Sentence(f"'ref prj-' || {digits(K, 4)} || ' in lower case'"),
-    Sentence(f"'satoshi nakamoto signed ' || {digits(K, 3)}", [Expect("custom_name", "PERSON_NAME", "'satoshi nakamoto'")]),
-    Sentence(f"'Satoshi Nakamoto. signed ' || {digits(K, 3)}"),
-    Sentence(f"'seen @Kraken_Admin' || ' ' || {digits(K, 3)}", [Expect("custom_name", "PERSON_NAME", "'Kraken_Admin'")]),
+    Sentence(f"'ref task-' || {digits(K, 4)} || ' in lower case'"),
+    Sentence(f"'quentin blackwood signed ' || {digits(K, 3)}", [Expect("custom_name", "PERSON_NAME", "'quentin blackwood'")]),
+    Sentence(f"'Quentin Blackwood. signed ' || {digits(K, 3)}"),
+    Sentence(f"'seen @Ops_Admin' || ' ' || {digits(K, 3)}", [Expect("custom_name", "PERSON_NAME", "'Ops_Admin'")]),
     Sentence(f"'maria de maria de maria ' || {digits(K, 3)}", [Expect("custom_name", "PERSON_NAME", "'maria de maria'")]),
 ], [])
 

@@ -107,6 +107,14 @@ def read_name_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _word_list(spark: SparkSession, path: str) -> list[str]:
+    """A word list for the plan; one too long for a plan is an error (give it as ``nameFiles``, which can be a table)."""
+    words = [r[0] for r in read_name_file(spark, path).limit(IN_PLAN_NAMES + 1).collect()]
+    if len(words) > IN_PLAN_NAMES:
+        raise ValueError(f"more than {IN_PLAN_NAMES} words in {path}")
+    return words
+
+
 def load_config(spark: SparkSession, path: str, base: Dictionaries | None = None) -> LoadedConfig:
     """Load a JSON dictionary config: ``names``, ``nameFiles`` (relative to the config), ``patterns``.
 
@@ -140,9 +148,7 @@ def load_config(spark: SparkSession, path: str, base: Dictionaries | None = None
         patterns = config.get("patterns") if isinstance(config.get("patterns"), list) else []
         dictionaries = dictionaries.add_patterns(patterns)
         more = {
-            kind: [
-                r[0] for f in config.get(key) or [] for r in read_name_file(spark, _beside(path, f)).limit(IN_PLAN_NAMES).collect()
-            ]
+            kind: [word for f in config.get(key) or [] for word in _word_list(spark, _beside(path, f))]
             for kind, key in (("first", "firstNameFiles"), ("last", "lastNameFiles"))
         }
         if more["first"] or more["last"]:

@@ -169,7 +169,7 @@ def test_sources_and_config(spark, tmp_path):
 
     config = {
         "names": ["Quibble", "Quibble"], "nameFiles": ["names.csv", "missing.txt"], "firstNameFiles": ["first.txt"],
-        "patterns": [{"regex": "EMP-\\d{6}", "placeholder": "EMPLOYEE_ID"}],
+        "patterns": [{"regex": "STAFF-\\d{6}", "placeholder": "EMPLOYEE_ID"}],
     }
     (tmp_path / "pii.json").write_text(json.dumps(config))
     (tmp_path / "names.csv").write_text("Fizzle, x ,Wump Bop\nGrok\n\n")
@@ -178,7 +178,7 @@ def test_sources_and_config(spark, tmp_path):
     assert (got.loaded, got.names_loaded, got.patterns_loaded, got.files_loaded) == (True, 5, 1, 1)
     assert got.dictionaries.names == {"quibble", "fizzle", "wump bop", "grok"} and "zaphod" in got.dictionaries.lists.first
     row = sv.anonymize(
-        spark.createDataFrame([("Wump Bop and Zaphod, emp-123456",)], "text string"), dictionaries=got.dictionaries
+        spark.createDataFrame([("Wump Bop and Zaphod, staff-123456",)], "text string"), dictionaries=got.dictionaries
     ).first()
     assert row.anonymized == "[PERSON_NAME_1] and [PERSON_NAME_2], [EMPLOYEE_ID]"
     assert not sources.load_config(spark, str(tmp_path / "none.json")).loaded
