@@ -122,3 +122,27 @@ WHERE NOT regexp_matches(after, '^,[{SPACES}]*[A-Z]{{2}}\\b')
        OR regexp_matches(before, '{lead_re}')
        OR lower(regexp_extract(near, '\\b([A-Z][a-z]+)[{SPACES}]+$', 1)) IN {word_list(lists.first)})
 """
+
+
+IBAN_RE = "(" + fixed.FORMATS["iban"] + ")"
+
+
+def resolved_hits(lists) -> str:
+    """CTE ``h``: hits of the core detectors, account numbers and known names in ``documents`` after the overlaps are
+    settled one by one (earlier start, then specific types, then shorter, then detector order)."""
+    order = [d[0] for d in fixed.CATALOGUE]
+    core = " UNION ALL ".join(
+        f"SELECT doc_id, {order.index(det)} AS seq, '{kind}' AS placeholder, start, value "
+        f"FROM ({hits('documents', 'doc_id', regex)}) WHERE {rule}"
+        for det, kind, regex, rule in [*CORE, ("iban", "BANK_ACCOUNT", IBAN_RE, "true")]
+    )
+    names = f"SELECT doc_id, {order.index('name_dictionary')} AS seq, 'PERSON_NAME' AS placeholder, start, value FROM ({names_sql(lists)})"
+    return (
+        f"raw AS ({core} UNION ALL {names}), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(value) - "
+        f"CASE WHEN placeholder IN {word_list(fixed.SPECIFIC_TYPES)} THEN 1000 ELSE 0 END, length(value), seq) AS i FROM raw), "
+        "walk AS (SELECT doc_id, i, placeholder, start, value, start + length(value) AS reach, true AS taken FROM o WHERE i = 1 UNION ALL "
+        "SELECT o.doc_id, o.i, o.placeholder, o.start, o.value, CASE WHEN o.start >= w.reach THEN o.start + length(o.value) ELSE w.reach END, "
+        "o.start >= w.reach FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1), "
+        "h AS (SELECT doc_id, placeholder, start, value FROM walk WHERE taken)"
+    )
