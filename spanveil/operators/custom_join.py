@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import chunks_of, empty_array, scan, slice_text, strip
+from spanveil.operators.skew import lookup_join
 from spanveil.operators.spans import NEIGHBOUR_CLASS, SPAN
 
 BROADCAST_BYTES = 128 << 20
@@ -39,7 +40,6 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")
     ).first()
     fits = size["bytes"] + ROW_OVERHEAD * size["rows"] <= BROADCAST_BYTES
-    side = F.broadcast(names) if fits else names
 
     low = texts.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     piece = "struct<s:int,e:int>"
@@ -63,7 +63,10 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
     candidates = cut.select(key, F.explode_outer(F.concat(*[runs(n) for n in sorted(lengths)])).alias("r")).where(
         F.col("r.name") != ""
     ).select(key, "r.*")
-    found = candidates.join(side, ["name", "pieces"]).select(
+    # Without a broadcast, everyday words would be hot keys of the join; they are joined apart.
+    keys = ["name", "pieces"]
+    met = candidates.join(F.broadcast(names), keys) if fits else lookup_join(candidates, names, keys)
+    found = met.select(
         key, "start", F.length("name").alias("len"), "name", "self_overlap"
     )
     simple = found.where("NOT self_overlap").select(key, "start", "len")

@@ -28,7 +28,8 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of ``left`` (any skew) to ``right`` (at most one row per key). ``left`` should be a kept table.
+    """Inner join of ``left`` (any skew) to ``right`` (at most one row per key). ``left`` is read up to three
+    times: pass a kept table, or one that is cheaper to compute again than to write.
 
     The heaviest keys are few by construction: at most ``HOT_KEYS`` of them, each with ``HOT_ROWS`` rows or more. Their
     rows of ``right`` (no more than ``HOT_KEYS``) are broadcast, so their left rows stay where they are. Every other key

@@ -138,8 +138,9 @@ def seed_spans(view: TextView, rules: RuleSet) -> Column:
     )
     # With half of the words being seed words, two of them are neighbours or have one word between them.
     word = one_of(fixed.SEED_WORDS)
+    first_letters = "".join(sorted({w[0] for w in fixed.SEED_WORDS}))
     possible = view.lower.rlike(
-        rf"{WORD_START}{word}{WS}++(?:{NON_SPACE_CLASS}++{WS}++)?{word}(?!\w)"
+        rf"(?=[{first_letters}]){WORD_START}{word}{WS}++(?:{NON_SPACE_CLASS}++{WS}++)?{word}(?!\w)"
     )
     return F.when(possible, found).otherwise(empty_array(SPAN))
 

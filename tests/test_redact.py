@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import spanveil as sv
-from spanveil.operators import custom_join, scope
+from spanveil.operators import custom_join, scope, skew
 from spanveil.operators.restore import restore_text
 
 
@@ -103,7 +103,7 @@ def brute_names(text, names):
     return sorted(out)
 
 
-def test_name_table_join_equals_brute_force(spark):
+def test_name_table_join_equals_brute_force(spark, monkeypatch):
     rnd = random.Random(8)
     bits = ["ana", "Ana", "maria", " ", " ", ",", ".", "-", "bo", "@", "x", "(", ")"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 30))) for _ in range(400)]
@@ -115,6 +115,12 @@ def test_name_table_join_equals_brute_force(spark):
         hits.setdefault(r.doc_id, []).append((r.start, r.len))
     for i, text in enumerate(texts):
         assert sorted(hits.get(i, [])) == brute_names(text, names), text
+    with monkeypatch.context() as patch:  # the same by shuffle, with the heaviest pieces joined apart
+        patch.setattr(custom_join, "BROADCAST_BYTES", 0)
+        patch.setattr(skew, "HOT_ROWS", 100)
+        patch.setattr(skew, "HOT_KEYS", 3)
+        shuffled = custom_join.custom_name_hits(df, "doc_id", table).collect()
+    assert sorted(map(tuple, shuffled)) == sorted((i, s, n) for i, found in hits.items() for s, n in found)
     joined = custom_join.with_custom_name_spans(df, "doc_id", table)
     via_join = sv.anonymize(joined, detectors=[], extra_spans=F.col("name_spans")).select("doc_id", "anonymized")
     in_plan = sv.anonymize(df, detectors=[], dictionaries=sv.Dictionaries().add_names(names)).select("doc_id", "anonymized")
