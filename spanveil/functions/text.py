@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.dialect import NON_SPACE_CLASS, SPACE_CLASS
 
 CHUNK_BITS = 12  # texts are cut into chunks of 4096 characters for slicing
-SCAN_BLOCK = 128
+SCAN_BLOCK = 256
 MARK = "\uffff"  # a Unicode non-character; texts that do contain it take the path without marks
 
 
@@ -51,21 +51,21 @@ def scan(
     init: Column,
     emit: Callable[[Column, Column], Column],
     step: Callable[[Column, Column], Column],
-    out_type: str,
 ) -> Column:
-    """Left-to-right pass over an array with carried state.
+    """Left-to-right pass over an array with carried state: one number (bigint) per item.
 
-    ``emit(state, item)`` gives an array of outputs for the item (before ``step``), ``step(state, item)`` the next
-    state. Appending to one growing array would copy it for every item; outputs are gathered per block of items, so a
-    text with 100,000 hits costs a few million pointer copies instead of billions.
+    ``emit(state, item)`` gives the item's number (before ``step``), ``step(state, item)`` the next state. A fold copies
+    its accumulator at every step; that is why it holds plain numbers only, gathered per block of items, and callers zip
+    them back to the items.
     """
+    none = empty_array("bigint")
 
     def run_block(block: Column, state: Column) -> Column:
         return F.aggregate(
             block,
-            F.struct(empty_array(out_type).alias("out"), state.alias("state")),
+            F.struct(none.alias("out"), state.alias("state")),
             lambda acc, item: F.struct(
-                F.concat(acc["out"], emit(acc["state"], item)).alias("out"),
+                F.array_append(acc["out"], emit(acc["state"], item).cast("bigint")).alias("out"),
                 step(acc["state"], item).alias("state"),
             ),
         )
@@ -76,19 +76,23 @@ def scan(
         ).otherwise(empty_array("int"))
         return F.aggregate(
             starts,
-            F.struct(empty_array(f"array<{out_type}>").alias("outs"), init.alias("state")),
+            F.struct(none.alias("outs"), init.alias("state")),
             lambda acc, start: let(
                 run_block(F.slice(all_items, start, F.lit(SCAN_BLOCK)), acc["state"]),
-                lambda r: F.struct(
-                    F.concat(acc["outs"], F.array(r["out"])).alias("outs"), r["state"].alias("state")
-                ),
+                lambda r: F.struct(F.concat(acc["outs"], r["out"]).alias("outs"), r["state"].alias("state")),
             ),
-            lambda acc: F.flatten(acc["outs"]),
+            lambda acc: acc["outs"],
         )
 
     return let(items, run)
 
 
+def keep_where(items: Column, flags: Column) -> Column:
+    """The items whose number in ``flags`` is not 0."""
+    pairs = F.zip_with(items, flags, lambda x, flag: F.struct(x.alias("x"), flag.alias("flag")))
+    return F.transform(F.filter(pairs, lambda p: p["flag"] != 0), lambda p: p["x"])
+
+
 def chunks_of(text: Column) -> Column:
     """The text as an array of 4096-character pieces (one piece for a short text)."""
     return F.when(F.length(text) <= (1 << CHUNK_BITS), F.array(text)).otherwise(

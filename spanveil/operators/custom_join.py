@@ -42,12 +42,11 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
     fits = size["bytes"] + ROW_OVERHEAD * size["rows"] <= BROADCAST_BYTES
 
     low = texts.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    piece = "struct<s:int,e:int>"
-    parts = scan(
-        F.split("low", NEIGHBOUR_CLASS, -1), F.lit(0),
-        emit=lambda pos, p: F.array(F.struct(pos.alias("s"), (pos + F.length(p)).alias("e"))),
-        step=lambda pos, p: pos + F.length(p) + 1,
-        out_type=piece,
+    pieces = F.split("low", NEIGHBOUR_CLASS, -1)
+    starts = scan(pieces, F.lit(0), emit=lambda pos, p: pos, step=lambda pos, p: pos + F.length(p) + 1)
+    parts = F.zip_with(
+        pieces, starts,
+        lambda p, s: F.struct(s.cast("int").alias("s"), (s + F.length(p)).cast("int").alias("e")),
     )
     cut = low.withColumn("parts", parts).withColumn("chunks", chunks_of(F.col("low")))
 
@@ -74,10 +73,9 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
     # A name that can overlap itself: walk its occurrences in the text, boundaries or not, and keep those the walk meets.
     walk = scan(
         F.split("low", F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")), -1), F.lit(0),
-        emit=lambda pos, gap: F.array(pos + F.length(gap)),
+        emit=lambda pos, gap: pos + F.length(gap),
         step=lambda pos, gap: pos + F.length(gap) + F.length("name"),
-        out_type="int",
-    )
+    ).cast("array<int>")
     special = (
         found.where("self_overlap").groupBy(key, "name").agg(F.array_sort(F.collect_set("start")).alias("starts"))
         .join(low, key)

@@ -20,7 +20,6 @@ from spanveil.functions.text import MARK, TextView, empty_array, let, scan
 from spanveil.operators.dictionaries import NameLists
 
 MATCH = "struct<seq:int,gap:int,m:string,v:string,line:int>"
-HIT = "struct<s:int,m:string,v:string,csv:boolean,seq:int>"
 SAME_LINE, PLAIN_LINE, RECORD_LINE, OPEN_LINE = range(4)  # what the gap before a match says about the line's start
 WS = SPACE_CLASS
 STREET_END = rf"{WS}+(?:{'|'.join(fixed.STREET_KINDS)}){BOUNDARY}"
@@ -110,24 +109,26 @@ def located(view: TextView, entries: Column) -> Column:
             .otherwise(kind == RECORD_LINE)
         )
 
-    return scan(
-        entries,
-        F.struct(F.lit(0).alias("pos"), F.lit(False).alias("csv")),
-        emit=lambda st, x: F.when(
-            x["m"].isNotNull(),
-            F.array(
-                F.struct(
-                    (st["pos"] + x["gap"]).alias("s"), x["m"].alias("m"), x["v"].alias("v"), csv(st, x).alias("csv"),
-                    x["seq"].alias("seq"),
-                )
+    def place(listed: Column) -> Column:
+        codes = scan(
+            listed,
+            F.struct(F.lit(0).alias("pos"), F.lit(False).alias("csv")),
+            emit=lambda st, x: (st["pos"] + x["gap"]) * 2 + F.when(x["m"].isNotNull() & csv(st, x), 1).otherwise(0),
+            step=lambda st, x: F.struct(
+                F.when(x["m"].isNull(), 0).otherwise(st["pos"] + x["gap"] + F.length(x["m"])).alias("pos"),
+                F.when(x["m"].isNull(), False).otherwise(csv(st, x)).alias("csv"),
             ),
-        ).otherwise(empty_array(HIT)),
-        step=lambda st, x: F.struct(
-            F.when(x["m"].isNull(), 0).otherwise(st["pos"] + x["gap"] + F.length(x["m"])).alias("pos"),
-            F.when(x["m"].isNull(), False).otherwise(csv(st, x)).alias("csv"),
-        ),
-        out_type=HIT,
-    )
+        )
+        found = F.zip_with(
+            listed, codes,
+            lambda x, code: F.struct(
+                F.shiftright(code, 1).cast("int").alias("s"), x["m"].alias("m"), x["v"].alias("v"),
+                (code % 2 == 1).alias("csv"), x["seq"].alias("seq"),
+            ),
+        )
+        return F.filter(found, lambda h: h["m"].isNotNull())
+
+    return let(entries, place)
 
 
 def detector_matches(view: TextView, det: Detector, seq: int) -> Column:

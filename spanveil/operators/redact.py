@@ -14,7 +14,6 @@ from spanveil.functions.text import TextView, compute_once, empty_array, let, sc
 from spanveil.operators.dictionaries import Dictionaries
 from spanveil.operators.spans import RAW, SPANS, RuleSet, resolve, rules_for, with_raw_spans
 
-GROUPED = "struct<kind:int,first:int,start:int,len:int,seq:int,value:string>"
 TAGGED = "struct<start:int,len:int,seq:int,kind:int,first:int,n:int,value:string>"
 TAGS, ENTITIES, MULTI = "__veil_tags", "__veil_entities", "__veil_multi"
 
@@ -39,39 +38,43 @@ def numbered(view: TextView, rules: RuleSet, spans: Column) -> Column:
     def first_of(st: Column, x: Column) -> Column:
         return F.when((st["kind"] == x["kind"]) & (st["norm"] == x["norm"]), st["first"]).otherwise(x["start"])
 
-    grouped = scan(
-        F.array_sort(keyed), nothing,
-        emit=lambda st, x: F.array(
-            F.struct(
-                x["kind"].alias("kind"), first_of(st, x).alias("first"), x["start"].alias("start"),
+    def with_first(ordered: Column) -> Column:
+        firsts = scan(
+            ordered, nothing, emit=first_of,
+            step=lambda st, x: F.struct(
+                x["kind"].alias("kind"), x["norm"].alias("norm"), first_of(st, x).alias("first")
+            ),
+        )
+        return F.zip_with(
+            ordered, firsts,
+            lambda x, first: F.struct(
+                x["kind"].alias("kind"), first.cast("int").alias("first"), x["start"].alias("start"),
                 x["len"].alias("len"), x["seq"].alias("seq"), x["value"].alias("value"),
-            )
-        ),
-        step=lambda st, x: F.struct(
-            x["kind"].alias("kind"), x["norm"].alias("norm"), first_of(st, x).alias("first")
-        ),
-        out_type=GROUPED,
-    )
+            ),
+        )
 
     def number(st: Column, x: Column) -> Column:
         return (
             F.when(st["kind"] != x["kind"], 1).when(st["first"] == x["first"], st["n"]).otherwise(st["n"] + 1)
         )
 
-    ranked = scan(
-        F.array_sort(grouped), F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("first"), F.lit(0).alias("n")),
-        emit=lambda st, x: F.array(
-            F.struct(
+    def with_number(ordered: Column) -> Column:
+        numbers = scan(
+            ordered, F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("first"), F.lit(0).alias("n")), emit=number,
+            step=lambda st, x: F.struct(
+                x["kind"].alias("kind"), x["first"].alias("first"), number(st, x).alias("n")
+            ),
+        )
+        return F.zip_with(
+            ordered, numbers,
+            lambda x, n: F.struct(
                 x["start"].alias("start"), x["len"].alias("len"), x["seq"].alias("seq"), x["kind"].alias("kind"),
-                x["first"].alias("first"), number(st, x).alias("n"), x["value"].alias("value"),
-            )
-        ),
-        step=lambda st, x: F.struct(
-            x["kind"].alias("kind"), x["first"].alias("first"), number(st, x).alias("n")
-        ),
-        out_type=TAGGED,
-    )
-    return F.array_sort(ranked)
+                x["first"].alias("first"), n.cast("int").alias("n"), x["value"].alias("value"),
+            ),
+        )
+
+    grouped = let(F.array_sort(keyed), with_first)
+    return F.array_sort(let(F.array_sort(grouped), with_number))
 
 
 def tag_text(rules: RuleSet, kind: Column, n: Column, multi: Column) -> Column:

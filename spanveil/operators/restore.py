@@ -24,7 +24,6 @@ def _one_after_another(text: Column, entity_map: Column) -> Column:
 def _in_one_pass(text: Column, entity_map: Column) -> Column:
     """Cut the text at tags and join it again with the values. Occurrences and entries meet by sorting, not by search."""
     item = "struct<tag:string,is_use:boolean,pos:int,value:string>"
-    piece = "struct<pos:int,value:string>"
 
     def build(z: Column) -> Column:
         entries = F.transform(
@@ -39,25 +38,29 @@ def _in_one_pass(text: Column, entity_map: Column) -> Column:
                 t.alias("tag"), F.lit(True).alias("is_use"), i.alias("pos"), F.lit(None).cast("string").alias("value")
             ),
         )
-        filled = scan(
-            F.array_sort(F.concat(entries, uses, empty_array(item))),
-            F.struct(F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("value")),
-            emit=lambda st, x: F.when(
-                x["is_use"],
-                F.array(
-                    F.struct(
-                        x["pos"].alias("pos"),
-                        F.when(st["tag"] == x["tag"], st["value"]).otherwise(x["tag"]).alias("value"),
-                    )
+
+        def values_of(ordered: Column) -> Column:
+            """The value of every use: the number of the last entry before it, if that entry has its tag."""
+            entry_of = scan(
+                ordered,
+                F.struct(F.lit(0).alias("at"), F.lit(-1).alias("entry"), F.lit("").alias("tag")),
+                emit=lambda st, x: F.when(x["is_use"] & (st["tag"] == x["tag"]), st["entry"]).otherwise(-1),
+                step=lambda st, x: F.struct(
+                    (st["at"] + 1).alias("at"),
+                    F.when(x["is_use"], st["entry"]).otherwise(st["at"]).alias("entry"),
+                    F.when(x["is_use"], st["tag"]).otherwise(x["tag"]).alias("tag"),
                 ),
-            ).otherwise(empty_array(piece)),
-            step=lambda st, x: F.struct(
-                F.when(x["is_use"], st["tag"]).otherwise(x["tag"]).alias("tag"),
-                F.when(x["is_use"], st["value"]).otherwise(x["value"]).alias("value"),
-            ),
-            out_type=piece,
-        )
-        values = F.transform(F.array_sort(filled), lambda x: x["value"])
+            )
+            filled = F.zip_with(
+                ordered, entry_of,
+                lambda x, entry: F.struct(
+                    x["pos"].alias("pos"),
+                    F.when(entry < 0, x["tag"]).otherwise(F.get(ordered, entry.cast("int"))["value"]).alias("value"),
+                ),
+            )
+            return F.transform(F.array_sort(F.filter(filled, lambda x: x["pos"] >= 0)), lambda x: x["value"])
+
+        values = let(F.array_sort(F.concat(entries, uses, empty_array(item))), values_of)
         return F.array_join(
             F.zip_with(z["gaps"], values, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), ""
         )

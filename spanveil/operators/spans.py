@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as fixed
 from spanveil.functions.checks import digits_of, luhn_ok
 from spanveil.functions.dialect import NON_SPACE_CLASS, SPACE_CLASS, WORD_START, java_regex, literal, one_of
-from spanveil.functions.text import MARK, TextView, chunks_of, compute_once, empty_array, let, scan, strip
+from spanveil.functions.text import MARK, TextView, chunks_of, compute_once, empty_array, keep_where, let, scan, strip
 from spanveil.operators.detectors import MATCH, Detector, builtin_detectors, detector_matches, located, matches
 from spanveil.operators.dictionaries import Dictionaries
 
@@ -173,12 +173,10 @@ def custom_name_spans(view: TextView, rules: RuleSet) -> Column:
 
     def pieces_of() -> Column:
         parts = F.split(view.lower, NEIGHBOUR_CLASS, -1)
-        return scan(
-            parts, F.lit(0),
-            emit=lambda pos, p: F.array(F.struct(pos.alias("s"), p.alias("m"))),
-            step=lambda pos, p: pos + F.length(p) + 1,
-            out_type="struct<s:int,m:string>",
+        starts = scan(
+            parts, F.lit(0), emit=lambda pos, p: pos, step=lambda pos, p: pos + F.length(p) + 1
         )
+        return F.zip_with(parts, starts, lambda p, s: F.struct(s.cast("int").alias("s"), p.alias("m")))
 
     found = let(
         pieces_of(),
@@ -270,14 +268,15 @@ def classified(view: TextView, rules: RuleSet, spans: Column) -> Column:
         )
         return F.when(x["seq"] == NUMBER, number).otherwise(x)
 
-    outside = scan(
-        F.array_sort(spans), F.lit(0),
-        emit=lambda reach, x: F.when(
-            (x["seq"] != NUMBER) | (x["start"] >= reach), F.array(x)
-        ).otherwise(empty_array(SPAN)),
-        step=lambda reach, x: F.when(x["seq"] == NUMBER, reach).otherwise(F.greatest(reach, x["start"] + x["len"])),
-        out_type=SPAN,
-    )
+    def outside_of(ordered: Column) -> Column:
+        flags = scan(
+            ordered, F.lit(0),
+            emit=lambda reach, x: F.when((x["seq"] != NUMBER) | (x["start"] >= reach), 1).otherwise(0),
+            step=lambda reach, x: F.when(x["seq"] == NUMBER, reach).otherwise(F.greatest(reach, x["start"] + x["len"])),
+        )
+        return keep_where(ordered, flags)
+
+    outside = let(F.array_sort(spans), outside_of)
     return F.when(
         F.exists(spans, lambda x: x["seq"] == NUMBER),
         F.filter(F.transform(outside, settle), lambda x: x["seq"].isNotNull()),
@@ -287,15 +286,16 @@ def classified(view: TextView, rules: RuleSet, spans: Column) -> Column:
 # ------------------------------------------------------------------------------------------------ overlap resolution
 def resolve(spans: Column) -> Column:
     """Greedy left-to-right choice of non-overlapping spans."""
-    return F.when(
-        F.size(spans) > 1,
-        scan(
-            F.array_sort(spans), F.lit(0),
-            emit=lambda reach, x: F.when(x["start"] >= reach, F.array(x)).otherwise(empty_array(SPAN)),
+
+    def chosen(ordered: Column) -> Column:
+        flags = scan(
+            ordered, F.lit(0),
+            emit=lambda reach, x: F.when(x["start"] >= reach, 1).otherwise(0),
             step=lambda reach, x: F.when(x["start"] >= reach, x["start"] + x["len"]).otherwise(reach),
-            out_type=SPAN,
-        ),
-    ).otherwise(spans)
+        )
+        return keep_where(ordered, flags)
+
+    return F.when(F.size(spans) > 1, let(F.array_sort(spans), chosen)).otherwise(spans)
 
 
 # ------------------------------------------------------------------------------------------------ on a table

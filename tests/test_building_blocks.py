@@ -86,7 +86,7 @@ def test_java_regex_spells_out_differences():
 def test_scan_and_slices_on_long_input(spark):
     text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(20001))
     df = spark.createDataFrame([(text, list(range(1000)))], "t string, a array<int>")
-    sums = scan(F.col("a"), F.lit(0), lambda st, x: F.array(st + x), lambda st, x: st + x, "int")
+    sums = scan(F.col("a"), F.lit(0), lambda st, x: st + x, lambda st, x: st + x)
     spots = [(0, 5), (4090, 20), (4096, 4096), (8191, 1), (19990, 100), (5, 0), (0, 20001)]
     row = df.withColumn("c", chunks_of(F.col("t"))).select(
         sums.alias("s"), *[slice_text(F.col("c"), F.lit(a), F.lit(n)).alias(f"p{i}") for i, (a, n) in enumerate(spots)]
