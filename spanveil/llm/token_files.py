@@ -16,8 +16,9 @@ are ordered by their text's digest, equal rows are interchangeable. An empty tab
 
 from __future__ import annotations
 
+import array
+import functools
 import itertools
-import re
 import zlib
 
 import numpy as np
@@ -32,7 +33,7 @@ from spanveil.llm.common import column, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 200_000
+CACHED_PIECES = 500_000
 ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
 SCHEMA = T.StructType(
     [
@@ -44,56 +45,61 @@ SCHEMA = T.StructType(
     ]
 )
 _ENCODED = T.StructType([SCHEMA["doc_id"], SCHEMA["part"], SCHEMA["before"], SCHEMA["n_tokens"], SCHEMA["ids"]])
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|<\|")
+_BLANKS = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029)]
+_BLANKS += ["\u202f", "\u205f", "\u3000"]
+_ODD = [*(b for b in _BLANKS if b not in " \n"), "  ", " \n", "\n ", "\n\n", "<|"]  # such texts aren't cut
 
 
 class Encoder:
-    """Ids of whole texts, the library's own, with a table of the pieces met so far."""
+    """Ids of whole texts as little-endian bytes, the library's own, with a bounded table of the pieces met so far."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        encode, pieces, self.cached = self.tokenizer.encode, public_tokenizers.PATTERN, {}
-        import regex
+        split, tokenize = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in set(plain))
+        shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}  # the byte-level alphabet
 
-        split, words = regex.compile(pieces).findall, {}
-        self.words = words
+        def ids_of(piece: str) -> bytes:
+            found = array.array("I")
+            for word in split(piece):
+                found.extend([t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))])
+            return found.tobytes()
 
         class Pieces(dict):
             def __init__(self, lead: str):
                 self.lead = lead
 
             def __missing__(self, piece: str):
-                found = []
-                for word in split(self.lead + piece):
-                    ids = words.get(word)
-                    if ids is None:
-                        ids = words[word] = tuple(encode(word, add_special_tokens=False).ids)
-                    found.extend(ids)
                 if len(self) >= CACHED_PIECES:
                     self.clear()
-                if len(words) >= CACHED_PIECES:
-                    words.clear()
-                self[piece] = found = tuple(found)
+                self[piece] = found = ids_of(self.lead + piece)
                 return found
 
-        self.first, self.later = Pieces(""), Pieces(" ")
-        self.line = tuple(encode("\n", add_special_tokens=False).ids)
+        self.first, self.later, self.line = Pieces(""), Pieces(" "), ids_of("\n")
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> bytes:
         if not text:
-            return np.empty(0, np.uint32)
-        if _ODD.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        first, later, parts = self.first, self.later.__getitem__, []
+            return b""
+        if text[0].isspace() or text[-1].isspace() or any(s in text for s in _ODD):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        first, later, parts = self.first, self.later, []
         for line in text.split("\n"):
             words = line.split(" ")
             parts.append(first[words[0]])
-            parts.extend(map(later, itertools.islice(words, 1, None)))
+            parts += [later[w] for w in words[1:]]
             parts.append(self.line)
         parts.pop()
-        return np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
+        return b"".join(parts)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One per worker process, kept between its tasks."""
+    return Encoder(path)
 
 
 def _slices(batch: pa.RecordBatch, text_at: int):
@@ -114,13 +120,13 @@ def encoded(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, e
     path = public_tokenizers.path(tokenizer)
 
     def encode(batches):
-        coder, before = Encoder(path), 0
+        coder, before, end = encoder(path), 0, np.uint32(end_id).tobytes()
         for whole in batches:
             for batch in _slices(whole, 2):
-                ids = [np.append(coder.ids(t), np.uint32(end_id)) for t in batch.column(2).to_pylist()]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                ids = [coder.ids(t) + end for t in batch.column(2).to_pylist()]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(sizes)
-                values = np.concatenate(ids).astype(np.int32)
+                values = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), pa.array(before + ends - sizes), pa.array(sizes),
