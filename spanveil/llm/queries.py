@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import exact_dedup, mixing, token_files
+from spanveil.llm import chosen_path, exact_dedup, mixing, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
@@ -28,6 +28,44 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies (five-word shingles, Jaccard 0.8) and its number of links."""
+    found = chosen_path.near_copies(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies", "class_size", "kept")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, list_sort(list_distinct(
+           CASE WHEN len(w) = 0 THEN []
+                ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s
+  FROM worded),
+sets AS (
+  SELECT min(doc_id) AS rep, s, len(s) AS n, count(*) AS n_copies, list(doc_id) AS docs
+  FROM shingled WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT rep, n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b FROM members a JOIN members b ON a.x = b.x AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) * 5 >= 4 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT rep AS a, rep AS b FROM sets
+  UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+roots AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY a),
+degrees AS (SELECT a AS rep, count(*) AS n_links FROM pairs GROUP BY a),
+labelled AS (
+  SELECT unnest(docs) AS doc_id, root, coalesce(n_links, 0) AS n_links, n_copies
+  FROM sets JOIN roots USING (rep) LEFT JOIN degrees USING (rep)
+  UNION ALL SELECT doc_id, doc_id, 0, 1 FROM shingled WHERE len(s) = 0)
+SELECT doc_id, root AS class_id, n_links, n_copies, count(*) OVER (PARTITION BY root) AS class_size, doc_id = root AS kept
+FROM labelled
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as ORC in id order and read back: place, size and checksum of every document."""
     path = shared_folder(spark, "tokens")
@@ -85,10 +123,12 @@ FROM ties
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_near_copies": op5_near_copies,
     "op7_token_files": op7_token_files,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
+    "op5_near_copies": OP5_SQL,
     "op10_mixing": OP10_SQL,
 }
