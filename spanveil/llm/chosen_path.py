@@ -39,6 +39,7 @@ DEPTH = 3
 SMALL = 500  # sets of a node that is compared at once instead of split further
 BLOCK = 4096  # sets of a block when a node of the last depth is compared in blocks
 MARGIN = 4.0  # standard errors
+BROADCAST_ROWS = 500_000  # candidates that are broadcast (about 40 MB); more are joined by shuffle
 
 
 def together(depth: int) -> float:
@@ -238,6 +239,8 @@ def shingle_sets(docs: DataFrame, candidates: DataFrame, id_column: str, text_co
         "__id", F.xxhash64("text").alias("__key"), "text"
     )
     own = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__key") == F.col("key"))
+    if candidates.count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     return texts.join(candidates, own).select("comp", "node", "n_blocks", "text").mapInArrow(
         work, "comp bigint, node bigint, n_blocks int, members array<bigint>"
     )

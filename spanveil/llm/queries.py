@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, exact_dedup, mixing, token_files
+from spanveil.llm import chosen_path, exact_dedup, mixing, paragraphs, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
@@ -73,6 +73,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat, exactly or nearly, in stretches of 20 words or more."""
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "para", "start", "end", "n_words", "class_id", "class_size",
+        F.col("keep_id").alias("keep_doc_id"), "removed",
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are mixed by the weights 5, 2, 1 to 150 % of all words."""
     docs = read_table(spark, sf_dir, "documents")
@@ -125,6 +133,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_near_copies": op5_near_copies,
     "op7_token_files": op7_token_files,
+    "op8_paragraphs": op8_paragraphs,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
