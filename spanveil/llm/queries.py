@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, exact_dedup, mixing, paragraphs, token_files
+from spanveil.llm import chosen_path, decontaminate, exact_dedup, mixing, paragraphs, quality, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds, with the alignment's score and place (in words)."""
+    found = decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "item_id", "score", F.col("start").alias("first_word"),
+        F.col("end").alias("end_word"), "n_seeds",
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of the same text that stays. Rows: all; null id or text: see the operator."""
     found = exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
@@ -81,6 +90,16 @@ def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by their nearest labelled neighbours."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are mixed by the weights 5, 2, 1 to 150 % of all words."""
     docs = read_table(spark, sf_dir, "documents")
@@ -130,10 +149,12 @@ FROM ties
 """
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_near_copies": op5_near_copies,
     "op7_token_files": op7_token_files,
     "op8_paragraphs": op8_paragraphs,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {

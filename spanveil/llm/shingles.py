@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def slices(batch: pa.RecordBatch, text_at: int, rows: int = 2048, chars: int = 8 << 20):
     """Pieces of a batch with bounded rows and text (a longer text comes alone)."""
     column = batch.column(text_at)
+    if not len(column):
+        return
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     start = 0
     for k in range(1, len(column) + 1):
