@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, decontaminate, exact_dedup, mixing, paragraphs, quality, token_files
+from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, quality, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
@@ -37,6 +37,19 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents: phrases as the base, the rules' labels added."""
+    found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("found", lambda f: f["label"])))
+    score = F.array_max(F.concat(F.transform("found", lambda f: f["score"]), F.transform("places", lambda _: F.lit(0.6))))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
+        F.coalesce(score, F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies (five-word shingles, Jaccard 0.8) and its number of links."""
     found = chosen_path.near_copies(read_table(spark, sf_dir, "documents"))
@@ -151,6 +164,7 @@ FROM ties
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_licenses": op4_licenses,
     "op5_near_copies": op5_near_copies,
     "op7_token_files": op7_token_files,
     "op8_paragraphs": op8_paragraphs,
