@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, quality, token_files
+from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, private_terms, quality, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
@@ -18,6 +18,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents, with the terms that disclose it."""
+    return private_terms.digest_columns(private_terms.personal_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of the same text that stays. Rows: all; null id or text: see the operator."""
     found = exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
@@ -163,6 +168,7 @@ FROM ties
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_private_terms": op2_private_terms,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_licenses": op4_licenses,
     "op5_near_copies": op5_near_copies,
