@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, private_terms, quality, token_files
+from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, private_terms, quality, secrets, token_files
 from spanveil.llm.common import read_table, shared_folder
 
 
@@ -93,6 +93,11 @@ FROM labelled
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: three formats as the base, random tokens by the Markov models added."""
+    return secrets.digest_columns(secrets.secret_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as ORC in id order and read back: place, size and checksum of every document."""
     path = shared_folder(spark, "tokens")
@@ -172,6 +177,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_licenses": op4_licenses,
     "op5_near_copies": op5_near_copies,
+    "op6_secrets": op6_secrets,
     "op7_token_files": op7_token_files,
     "op8_paragraphs": op8_paragraphs,
     "op9_quality": op9_quality,
