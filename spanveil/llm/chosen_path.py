@@ -26,10 +26,11 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanveil.llm import shingles as sh
-from spanveil.llm.common import column, kept, text_of
+from spanveil.llm.common import column, kept, packed, text_of, unpacked
 from spanveil.llm.components import components
 from spanveil.llm.verify import blocks, exact_links
 
@@ -248,18 +249,11 @@ def shingle_sets(docs: DataFrame, candidates: DataFrame, id_column: str, text_co
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents that stay: one of each class, whole rows, columns unchanged."""
-    stays = near_copies(docs, id_column, text_column, **options).where("kept").select(
-        F.col("id").alias("__id"), F.col("key").alias("__key")
+    stays = near_copies(docs, id_column, text_column, **options).where("kept").select("id", "key")
+    rows = docs.select(
+        packed(docs), column(id_column).cast("bigint").alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_key")
     )
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_of(text_column)))
-    own = column(id_column).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    names = [column(c) for c in docs.columns]
-    stay = keyed.join(stays, own, "left_semi")
-    one = F.row_number().over(_same(id_column))
-    return stay.withColumn("__one", one).where("__one = 1").select(*names)
-
-
-def _same(id_column: str):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(column(id_column), F.col("__text_key")).orderBy(F.lit(0))
+    own = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
+    one = F.row_number().over(W.partitionBy("own_id", "own_key").orderBy(F.lit(0)))
+    stay = rows.join(stays, own, "left_semi").withColumn("one", one).where("one = 1")
+    return unpacked(stay, docs.columns)

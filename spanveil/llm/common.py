@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanveil.operators.skew import kept
 
-__all__ = ["WORD", "column", "kept", "read_table", "shared_folder", "text_of", "words_of"]
+__all__ = ["WORD", "column", "kept", "packed", "read_table", "shared_folder", "text_of", "unpacked", "words_of"]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z: letters, digits and everything beyond ASCII
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -28,6 +28,15 @@ def text_of(name: str) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one struct ``doc``, so that no column of it can clash with an operator's own."""
+    return F.struct(*[column(c) for c in docs.columns]).alias("doc")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("doc")[c].alias(c) for c in columns])
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words of one text, for Python workers."""
     return _WORDS.findall((text or "").translate(_UPPER) if not (text or "").isascii() else (text or "").lower())

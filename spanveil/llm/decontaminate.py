@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Seeds are the n-grams of words of the test items. One pass counts in how many documents each seed occurs; of the seeds
-an item has in the corpus, the rarer half (ties included) are its rare seeds, so an item that leaked a million times keeps seeds too, and
-stock phrases start no alignment where an item has anything rarer. A second pass finds the rare seeds in every whole
+an item has in the corpus, those in at most ``rare_factor`` times as many documents as the middle one are its rare seeds.
+So an item that leaked a million times keeps its seeds, copies that were edited here or there do not lose theirs to
+others', and stock phrases start no alignment. A second pass finds the rare seeds in every whole
 text, gathers those of one item that lie within an item's length, and aligns the item with that stretch of the text:
 local alignment of words, +2 for a match, -1 for another word or a gap, divided by the best possible score. Edited or
 paraphrased copies keep some seeds and most of the score.
@@ -28,7 +29,7 @@ from spanveil.llm import shingles as sh
 from spanveil.llm.common import column, text_of
 
 SEED = 4
-RARE_SHARE = 0.5
+RARE_FACTOR = 4.0
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS = 2.0, -1.0
@@ -66,7 +67,7 @@ class Items:
         hit = self.sorted[k] == seeds[at]
         return at[hit], self.look[k[hit]]
 
-    def choose_rare(self, documents: np.ndarray, share: float) -> None:
+    def choose_rare(self, documents: np.ndarray, factor: float) -> None:
         seed = np.repeat(np.arange(len(self.seeds)), self.times)
         n = documents[seed]
         rare = np.zeros(len(seed), bool)
@@ -75,8 +76,7 @@ class Items:
         for item in np.unique(self.item[n > 0]):
             own = by_item[bounds[item] : bounds[item + 1]]
             own = own[n[own] > 0]
-            limit = np.sort(n[own])[max(0, int(np.ceil(len(own) * share)) - 1)]
-            rare[own] = n[own] <= limit
+            rare[own] = n[own] <= factor * np.median(n[own])
         present = np.zeros(len(self.seeds), bool)
         present[seed[rare]] = True
         self.keep(present, rare)
@@ -171,11 +171,11 @@ def seed_counts(texts: DataFrame, items: Items) -> np.ndarray:
     return total
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, item_column, item_text, text_column, seed, share):
+def prepared(docs: DataFrame, benchmark: DataFrame, item_column, item_text, text_column, seed, factor):
     """Broadcasts of all blocks, with their rare seeds chosen."""
     texts, context = docs.select(text_of(text_column).alias("text")), docs.sparkSession.sparkContext
     for items in item_blocks(benchmark, item_column, item_text, seed):
-        items.choose_rare(seed_counts(texts, items), share)
+        items.choose_rare(seed_counts(texts, items), factor)
         yield context.broadcast(items)
 
 
@@ -187,7 +187,7 @@ def leaks(
     item_column: str = "item_id",
     item_text: str = "text",
     seed: int = SEED,
-    rare_share: float = RARE_SHARE,
+    rare_factor: float = RARE_FACTOR,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """A row for each document and test item it holds: id, item_id, score, start, end (words), n_seeds."""
@@ -195,7 +195,7 @@ def leaks(
     schema = f"id {kinds[0]}, item_id {kinds[1]}, score double, start bigint, end bigint, n_seeds bigint"
     narrow = docs.select(column(id_column).alias("id"), text_of(text_column).alias("text"))
     found = None
-    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_share):
+    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_factor):
         part = narrow.mapInArrow(_pairs(shared, threshold), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
@@ -230,7 +230,7 @@ def without_leaks(
     item_column: str = "item_id",
     item_text: str = "text",
     seed: int = SEED,
-    rare_share: float = RARE_SHARE,
+    rare_factor: float = RARE_FACTOR,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents that hold no test item, with the columns of ``docs``."""
@@ -252,6 +252,6 @@ def without_leaks(
         return F.arrow_udf(work, "boolean")
 
     rows = docs
-    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_share):
+    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_factor):
         rows = rows.where(~holds(shared)(text_of(text_column)))
     return rows

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import column, kept, text_of
+from spanveil.llm.common import column, kept, packed, text_of, unpacked
 
 WEIGHTS = (5, 2, 1)
 BITS = 12  # bits of a rank that one round of counting settles
@@ -130,25 +130,18 @@ def with_copies(
     source_column: str = "source",
     seed: str = "mix",
 ) -> DataFrame:
-    """``docs`` with the struct column ``__mix``: size, source_size, target, copies."""
-    mix = F.struct(*[F.col(c) for c in ("source_size", "target", "certain", "p", "cut")]).alias("__plan")
-    plan = plan.select(F.col("source").alias("__source"), mix)
+    """doc (the whole row as a struct) and mix (size, source_size, target, copies) of every document."""
+    sources = plan.select(F.col("source").alias("plan_source"), F.struct("source_size", "target", "certain", "p", "cut").alias("plan"))
     if plan.count() <= SOURCES_IN_PLAN:
-        plan = F.broadcast(plan)
-    p, cut = F.col("__plan.p"), F.col("__plan.cut")
-    extra = (p > 0) & (_rank(_uniform(column(id_column), seed), p) <= cut)
-    return (
-        docs.join(plan, column(source_column).eqNullSafe(F.col("__source")))
-        .withColumn(
-            "__mix",
-            F.struct(
-                size_of(text_of(text_column)).alias("size"),
-                F.col("__plan.source_size").alias("source_size"),
-                F.col("__plan.target").alias("target"),
-                (F.col("__plan.certain") + F.when(extra, 1).otherwise(0)).cast("int").alias("copies"),
-            ),
-        )
-        .drop("__source", "__plan")
+        sources = F.broadcast(sources)
+    rows = docs.select(
+        packed(docs), column(source_column).alias("own_source"), size_of(text_of(text_column)).alias("size"),
+        _uniform(column(id_column), seed).alias("u"),
+    )
+    extra = (F.col("plan.p") > 0) & (_rank(F.col("u"), F.col("plan.p")) <= F.col("plan.cut"))
+    copies = (F.col("plan.certain") + F.when(extra, 1).otherwise(0)).cast("int")
+    return rows.join(sources, F.col("own_source").eqNullSafe(F.col("plan_source"))).select(
+        "doc", F.struct("size", "plan.source_size", "plan.target", copies.alias("copies")).alias("mix")
     )
 
 
@@ -156,10 +149,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
     names = {k: options[k] for k in ("id_column", "text_column", "source_column", "seed") if k in options}
     chosen = with_copies(docs, mixing_plan(docs, **options), **names)
-    return (
-        chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies"))))
-        .select(*[column(c) for c in docs.columns])
-    )
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix.copies")))
+    return unpacked(chosen.select("doc", copies.alias("copy")), docs.columns)
 
 
 def _rank(u: Column, p: Column) -> Column:

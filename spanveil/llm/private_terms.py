@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import compute_once, let, scan
-from spanveil.llm.common import column, kept, text_of
+from spanveil.llm.common import column, kept, packed, text_of
 from spanveil.llm.spans import guarded, match_spans, named
 
 # The formats. Each is written so that Java neither recurses per character nor restarts in a run it has failed on;
@@ -179,12 +179,10 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
             tagged("removed", lambda v: F.lit("")),
         )
     )
-    one = spans.groupBy("id", "key").agg(F.first(every).alias("__all")).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), "__all"
-    )
-    text = text_of(text_column)
+    one = spans.groupBy("id", "key").agg(F.first(every).alias("all_spans"))
+    text = F.col("text")
     done = F.aggregate(
-        "__all",
+        "all_spans",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
             F.struct(
@@ -194,9 +192,11 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    own = column(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
-    joined = docs.join(one, own, "left").withColumn("__done", F.when(column(text_column).isNotNull(), done))
-    return joined.select(*[F.col("__done").alias(c) if c == text_column else column(c) for c in docs.columns])
+    rows = docs.select(packed(docs), column(id_column).alias("own_id"), text_of(text_column).alias("text"))
+    rows = rows.withColumn("own_key", F.xxhash64("text"))
+    joined = rows.join(one, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    new = F.when(F.col("doc")[text_column].isNotNull(), F.coalesce(done, text))
+    return joined.select(*[new.alias(c) if c == text_column else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def digest_columns(spans: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm import shingles as sh
-from spanveil.llm.common import column, text_of
+from spanveil.llm.common import column, packed, text_of, unpacked
 
 GRAMS, SHAPES = 2048, 1024
 FEATURES = GRAMS + SHAPES
@@ -205,5 +205,6 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", name: str =
 def accepted(docs: DataFrame, labels: DataFrame, least: float = REJECT_BELOW, **options) -> DataFrame:
     """The documents whose score is not below ``least``, with the columns of ``docs``."""
     model = fit(docs, labels, **options)
-    rows = scored(docs, model, options.get("text_column", "text"), "__quality_score")
-    return rows.where(F.col("__quality_score") >= least).select(*[column(c) for c in docs.columns])
+    text = options.get("text_column", "text")
+    rows = scored(docs.select(packed(docs), column(text).alias("text")), model, "text")
+    return unpacked(rows.where(F.col("score") >= least), docs.columns)

@@ -126,9 +126,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from every document when sources are mixed by the weights 5, 2, 1 to 150 % of all words."""
     docs = read_table(spark, sf_dir, "documents")
-    m = F.col("__mix")
+    m = F.col("mix")
     return mixing.with_copies(docs, mixing.mixing_plan(docs)).select(
-        "doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"),
+        F.col("doc.doc_id").alias("doc_id"), m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"),
         (m["size"] * m["copies"]).alias("taken"),
     )
 
