@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import chunks_of, empty_array, scan, slice_text, strip
-from spanveil.operators.skew import lookup_join
-from spanveil.operators.spans import NEIGHBOUR_CLASS, SPAN
+from spanveil.operators.skew import lookup_join, of_unique_keys
+from spanveil.operators.spans import NEIGHBOUR_CLASS, SPAN, same_length_lower
 
 BROADCAST_BYTES = 128 << 20
 ROW_OVERHEAD = 64
@@ -20,7 +20,7 @@ ROW_OVERHEAD = 64
 
 def prepare_names(names: DataFrame, name_col: str = "name") -> DataFrame:
     """Lower-cased, trimmed, distinct, non-blank names with the number of pieces and whether a name can overlap itself."""
-    cleaned = names.select(strip(F.lower(F.col(name_col))).alias("name")).where("name <> ''").distinct()
+    cleaned = names.select(strip(same_length_lower(F.col(name_col))).alias("name")).where("name <> ''").distinct()
     size = F.length("name")
     overlaps = F.when(
         size > 1,
@@ -41,7 +41,7 @@ def custom_name_hits(texts: DataFrame, key: str, names: DataFrame, text_col: str
     ).first()
     fits = size["bytes"] + ROW_OVERHEAD * size["rows"] <= BROADCAST_BYTES
 
-    low = texts.select(F.col(key), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    low = texts.select(F.col(key), same_length_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     pieces = F.split("low", NEIGHBOUR_CLASS, -1)
     starts = scan(pieces, F.lit(0), emit=lambda pos, p: pos, step=lambda pos, p: pos + F.length(p) + 1)
     parts = F.zip_with(
@@ -95,6 +95,7 @@ def with_custom_name_spans(
             F.struct(F.col("start"), F.col("len").alias("rank"), F.col("len"), F.lit(1).alias("seq"))
         ).alias(out)
     )
+    per_text = of_unique_keys(per_text, texts, [key], out)
     return texts.join(per_text, key, "left").withColumn(
         out, F.coalesce(F.col(out).cast(f"array<{SPAN}>"), empty_array(SPAN))
     )

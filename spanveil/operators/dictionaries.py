@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
+
 from spanveil.functions import fixed_values as fixed
 from spanveil.functions.dialect import java_regex
 
@@ -24,6 +27,16 @@ class NameLists:
         more_last = {w.strip().lower() for w in last} - {""}
         return replace(self, first=self.first | more_first, last=self.last | more_last)
 
+    @classmethod
+    def from_files(cls, first: str | None = None, last: str | None = None) -> NameLists:
+        """The built-in lists with the first or last names of a file (on the driver) in their place."""
+        lists = cls()
+        if first:
+            lists = replace(lists, first=frozenset(w.lower() for w in fixed.read_words(first)))
+        if last:
+            lists = replace(lists, last=frozenset(w.lower() for w in fixed.read_words(last)))
+        return lists
+
     @property
     def candidates(self) -> list[str]:
         """Words of two or more ASCII letters that the detector can ever accept."""
@@ -39,6 +52,7 @@ class CustomPattern:
     flags: str = "gi"
     label: str = "Custom Pattern"
     placeholder: str = "CUSTOM_PII"
+    name: str = ""  # what the id is made of where it isn't the label
 
     def __post_init__(self):
         unknown = set(self.flags) - set("gimsuy")
@@ -55,7 +69,16 @@ class CustomPattern:
 
     @property
     def id(self) -> str:
-        return f"custom_{self.label}"
+        return f"custom_{self.name or self.label}"
+
+    @classmethod
+    def from_record(cls, record) -> CustomPattern:
+        """From a record of a config: regex, and if given flags, label, placeholder; further keys are ignored. The id is
+        made of the label, else of the placeholder, else it is custom_pattern."""
+        if not isinstance(record, Mapping) or not isinstance(record.get("regex"), str):
+            raise ValueError(f"not a pattern: {record!r}")
+        given = {k: str(record[k]) for k in ("flags", "label", "placeholder") if record.get(k)}
+        return cls(record["regex"], **given, name=given.get("label") or given.get("placeholder") or "pattern")
 
     @property
     def java(self) -> str:
@@ -69,22 +92,27 @@ class CustomPattern:
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """User dictionaries as an immutable value: pass it to the operators; an empty one switches it off."""
+    """User dictionaries as an immutable value: pass it to the operators; an empty one switches it off.
+
+    ``names`` are literals of the query plan; ``names_table`` (column ``name``) holds any number of further names, which
+    are joined. Both have the same effect.
+    """
 
     names: frozenset[str] = frozenset()
     patterns: tuple[CustomPattern, ...] = ()
     lists: NameLists = field(default_factory=NameLists)
+    names_table: DataFrame | None = None
 
     def add_names(self, names) -> Dictionaries:
+        names = list(names)
+        if not all(isinstance(n, str) for n in names):
+            raise ValueError("names must be strings")
         cleaned = {n.lower().strip() for n in names} - {""}
         return replace(self, names=self.names | cleaned)
 
     def add_patterns(self, patterns) -> Dictionaries:
         """Add patterns given as ``CustomPattern`` or as records with regex and optional flags, label, placeholder."""
-        made = tuple(
-            p if isinstance(p, CustomPattern) else CustomPattern(**{k: v for k, v in dict(p).items() if v})
-            for p in patterns
-        )
+        made = tuple(p if isinstance(p, CustomPattern) else CustomPattern.from_record(p) for p in patterns)
         return replace(self, patterns=self.patterns + made)
 
     def clear(self) -> Dictionaries:

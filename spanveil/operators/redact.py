@@ -6,12 +6,16 @@ loses its number. All steps sort or scan arrays (no pairwise comparison), so a t
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.checks import normal_value
 from spanveil.functions.text import TextView, compute_once, empty_array, let, scan
+from spanveil.operators.custom_join import prepare_names, with_custom_name_spans
 from spanveil.operators.dictionaries import Dictionaries
+from spanveil.operators.skew import kept
 from spanveil.operators.spans import RAW, SPANS, RuleSet, resolve, rules_for, with_raw_spans
 
 TAGGED = "struct<start:int,len:int,seq:int,kind:int,first:int,n:int,value:string>"
@@ -149,12 +153,28 @@ def rendered(view: TextView, rules: RuleSet, tags: Column, multi: Column) -> Col
 
 
 def _prepared(df, text_col, detectors, dictionaries, extra=None):
-    rules = rules_for(detectors, dictionaries)
     before = df.columns
+    df, dictionaries, extra = _with_joined_names(df, text_col, dictionaries, extra)
+    rules = rules_for(detectors, dictionaries)
     df, view = with_raw_spans(df, text_col, rules, extra)
     return with_entities(df, view, rules), view, rules, before
 
 
+def _with_joined_names(df, text_col, dictionaries, extra=None):
+    """Spans of the names of a table, if there is one. The rows get numbers and are written once, so that the join finds
+    them again whatever keys they have."""
+    if dictionaries is None or dictionaries.names_table is None:
+        return df, dictionaries, extra
+    numbered = kept(df.withColumn("__veil_row", F.monotonically_increasing_id()))
+    names = kept(prepare_names(dictionaries.names_table))
+    found = F.col("__veil_names")
+    return (
+        with_custom_name_spans(numbered, "__veil_row", names, text_col, "__veil_names"),
+        replace(dictionaries, names_table=None),
+        found if extra is None else F.concat(extra, found),
+    )
+
+
 def anonymize(
     df: DataFrame,
     text_col: str = "text",
@@ -238,8 +258,9 @@ def findings(
     ``raw`` lists every span of every detector, overlapping ones included (without tags).
     """
     if raw:
+        df, dictionaries, extra = _with_joined_names(df, text_col, dictionaries)
         rules = rules_for(detectors, dictionaries)
-        out, view = with_raw_spans(df, text_col, rules)
+        out, view = with_raw_spans(df, text_col, rules, extra)
         spans = rules.once("raw_spans", lambda: _public_raw_spans(rules, view))
         out = out.select(*keys, F.explode_outer(spans).alias("span"))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import empty_array, let, scan
-from spanveil.operators.skew import kept, lookup_join
+from spanveil.operators.skew import kept, lookup_join, null_safe_join
 
 TAG = r"\[[^\[\]]+\]"
 FEW_TAGS = 16
@@ -79,6 +79,7 @@ def restore_text(text: Column, entity_map: Column) -> Column:
     The rule is one replacement per tag, longest tag first. For many tags one pass does the same work unless a tag has
     an unusual shape or a value brings brackets into the text; those rare rows follow the rule literally.
     """
+    entity_map = F.map_filter(entity_map, lambda k, v: v.isNotNull())  # an entry without a value restores nothing
     plain = F.forall(F.map_keys(entity_map), lambda k: k.rlike(rf"\A{TAG}\z")) & F.forall(
         F.map_values(entity_map), lambda v: ~v.rlike(r"[\[\]]")
     ) & ~text.rlike(r"\[[^\[\]]*\[|\][^\[\]]*\]|\A[^\[\]]*\]|\[[^\[\]]*\z")
@@ -105,7 +106,7 @@ def restore_from_vault(
             F.array_sort(F.collect_list(F.struct("first", "tag", "value"))), lambda e: F.struct(e["tag"], e["value"])
         ).alias("__veil_entries")
     )
-    joined = redacted.join(maps, key, "left").withColumn("__veil_map", F.map_from_entries("__veil_entries"))
+    joined = null_safe_join(redacted, maps, [key], "left").withColumn("__veil_map", F.map_from_entries("__veil_entries"))
     return deanonymize(joined, text_col, "__veil_map", out).drop("__veil_map", "__veil_entries")
 
 
@@ -128,7 +129,7 @@ def restore_from_scope_vault(
     )
     known = lookup_join(uses, vault.select(scope, "tag", "value"), [scope, "tag"])
     maps = known.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "value")))).alias("__veil_map")
+        F.map_from_entries(F.array_sort(F.collect_set(F.struct("tag", "value")))).alias("__veil_map")
     )
-    joined = redacted.join(maps, key, "left")
+    joined = null_safe_join(redacted, maps, [key], "left")
     return deanonymize(joined, text_col, "__veil_map", out).drop("__veil_map")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.checks import normal_value
 from spanveil.functions.text import chunks_of, slice_text
-from spanveil.operators.skew import lookup_join
+from spanveil.operators.skew import lookup_join, null_safe_join, of_unique_keys
 
 BUCKETS = 1024
 
@@ -88,7 +88,7 @@ def number_entities(
     numbered = F.concat(F.lit("["), name, F.lit("_"), F.col("n").cast("string"), F.lit("]"))
     single = (F.col("n_entities") == 1) & name.rlike(r"\A[A-Z_]+\z")
     return (
-        ranked.join(offsets, [*keys, "__bucket"])
+        null_safe_join(ranked, offsets, [*keys, "__bucket"])
         .withColumn("n", F.col("__offset") + F.col("__rank"))
         .withColumn("tag", F.when(single, F.concat(F.lit("["), name, F.lit("]"))).otherwise(numbered))
         .drop("__bucket", "__rank", "__offset")
@@ -127,6 +127,9 @@ def redact_in_scope(
     ``occurrences`` are the resolved spans (``findings`` with the key and scope columns); they meet the numbered
     entities on (scope, type, normal form), heavy entities apart (see ``lookup_join``), and are gathered per text, which
     bounds a group by one text. Pass a kept table of occurrences so that the texts are searched only once.
+
+    It never fails open: NULL is a scope like any other; an occurrence without a number, a NULL key, or a key of several
+    texts raises an error when the result is computed.
     """
     key = [key] if isinstance(key, str) else key
     scope_keys = [scope] if scope else []
@@ -135,10 +138,13 @@ def redact_in_scope(
         normal_value(F.col("value"), F.col("placeholder")).alias("norm"),
     )
     tagged = lookup_join(
-        keyed, numbered.select(*scope_keys, "placeholder", "norm", "tag"), [*scope_keys, "placeholder", "norm"]
+        keyed, numbered.select(*scope_keys, "placeholder", "norm", "tag"), [*scope_keys, "placeholder", "norm"], "left"
     )
+    no_tag = F.raise_error(F.lit("an occurrence has no numbered entity")).cast("string")
+    tagged = tagged.withColumn("tag", F.coalesce("tag", no_tag))
     per_text = tagged.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("__spans"))
-    joined = texts.join(per_text, key, "left").withColumn("__chunks", chunks_of(F.col(text_col)))
+    per_text = of_unique_keys(per_text, texts, key, "__spans")
+    joined = null_safe_join(texts, per_text, key, "left").withColumn("__chunks", chunks_of(F.col(text_col)))
     spans, chunks = F.col("__spans"), F.col("__chunks")
 
     def from_end(i: Column) -> Column:

@@ -206,6 +206,7 @@ def regex_spans(view: TextView, rules: RuleSet) -> Column:
         checks.append((1, name_stands_alone))
     for i, pattern in enumerate(rules.dictionaries.patterns):
         lists.append(matches(view, pattern.java, rules.first_pattern + i))
+        checks.append((rules.first_pattern + i, lambda _, h: F.length(h["m"]) > 0))
     for i, det in enumerate(rules.builtins):
         lists.append(detector_matches(view, det, rules.first_builtin + i))
         if det.rule is not None:
@@ -304,6 +305,11 @@ TEXT, LOWER, CHUNKS, DIGIT, MARKED, RAW, SPANS = (
 )
 
 
+def same_length_lower(text: Column) -> Column:
+    """Lower case, character for character: the one letter whose lower form is two characters loses its dot."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("I")))
+
+
 def with_view(df: DataFrame, text_col: str) -> tuple[DataFrame, TextView]:
     """Add the derived text columns. Blank text counts as empty."""
     df = df.withColumn(
@@ -311,7 +317,7 @@ def with_view(df: DataFrame, text_col: str) -> tuple[DataFrame, TextView]:
     )
     df = df.withColumns(
         {
-            LOWER: F.lower(F.col(TEXT)),
+            LOWER: same_length_lower(F.col(TEXT)),
             CHUNKS: chunks_of(F.col(TEXT)),
             DIGIT: F.col(TEXT).rlike("[0-9]"),
             MARKED: F.col(TEXT).contains(MARK),

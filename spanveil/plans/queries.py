@@ -683,9 +683,10 @@ def session_pii(spark, sf):
 
 
 @register("first_findings", (
-    f"WITH {_EVENT_HITS} SELECT DISTINCT user_id, placeholder, CASE placeholder WHEN 'EMAIL' THEN 'u' || cast(user_id as string) || '@example.com' "
-    "ELSE '10.0.0.' || cast(user_id % 200 as string) END AS value FROM e"
+    f"WITH {_EVENT_HITS}, v AS (SELECT *, CASE placeholder WHEN 'EMAIL' THEN 'u' || cast(user_id as string) || '@example.com' "
+    "ELSE '10.0.0.' || cast(user_id % 200 as string) END AS value FROM e) "
+    "SELECT user_id, placeholder, value, min(ts) AS first_ts FROM v GROUP BY ALL"
 ))
 def first_findings(spark, sf):
     found = jobs.first_findings(_event_findings(spark, sf), ["user_id", "placeholder", "value"], "ts")
-    return found.select("user_id", "placeholder", "value")
+    return found.select("user_id", "placeholder", "value", F.col("ts").alias("first_ts"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from spanveil.operators.dictionaries import Dictionaries
 from spanveil.operators.redact import anonymize
 
-IN_PLAN_NAMES = 20_000  # more names than this stay a table and are joined (see operators.custom_join)
-
 
 def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """One row per file (``whole``) or per line, with the file it came from. ``path`` may be a directory or glob."""
@@ -77,10 +75,7 @@ def read_vault(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ dictionary config
 @dataclass(frozen=True)
 class LoadedConfig:
-    """What a config file held. Counts are lengths of the lists, not numbers of distinct entries.
-
-    ``names_table`` is set instead of ``dictionaries.names`` growing when there are too many names for a query plan.
-    """
+    """What a config file held. Counts are lengths of the lists, not numbers of distinct entries."""
 
     loaded: bool
     dictionaries: Dictionaries
@@ -88,7 +83,6 @@ class LoadedConfig:
     patterns_loaded: int = 0
     files_loaded: int = 0
     error: str | None = None
-    names_table: DataFrame | None = None
 
 
 def _beside(path: str, name: str) -> str:
@@ -108,53 +102,40 @@ def read_name_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _word_list(spark: SparkSession, path: str) -> list[str]:
-    """A word list for the plan; one too long for a plan is an error (give it as ``nameFiles``, which can be a table)."""
-    words = [r[0] for r in read_name_file(spark, path).limit(IN_PLAN_NAMES + 1).collect()]
-    if len(words) > IN_PLAN_NAMES:
-        raise ValueError(f"more than {IN_PLAN_NAMES} words in {path}")
-    return words
+    """A word list for the plan, whole: it extends the built-in lists, which are literals."""
+    return [r[0] for r in read_name_file(spark, path).collect()]
 
 
 def load_config(spark: SparkSession, path: str, base: Dictionaries | None = None) -> LoadedConfig:
     """Load a JSON dictionary config: ``names``, ``nameFiles`` (relative to the config), ``patterns``.
 
-    Missing name files are skipped; a missing or malformed config gives ``loaded=False`` and the error. Two further
-    keys, ``firstNameFiles`` and ``lastNameFiles``, extend the word lists of the known-name detector.
+    Names of files stay a table (``Dictionaries.names_table``), whatever their number, and are joined. Missing name
+    files are skipped; a missing or malformed config, or one with a bad entry, gives ``loaded=False`` and the error, and
+    none of it is used; a config that is no object holds nothing. Two further keys, ``firstNameFiles`` and
+    ``lastNameFiles``, extend the word lists of the known-name detector.
     """
     dictionaries = base or Dictionaries()
     try:
         row = spark.read.text(path, wholetext=True).first()
         config = json.loads(row[0] if row else "")
-        names = config.get("names") if isinstance(config.get("names"), list) else []
-        dictionaries = dictionaries.add_names(names)
-        tables, total, files = [], len(names), 0
-        for name in config.get("nameFiles") or []:
+        lists = {k: v for k, v in config.items() if isinstance(v, list)} if isinstance(config, dict) else {}
+        names, patterns = lists.get("names", []), lists.get("patterns", [])
+        dictionaries = dictionaries.add_names(names).add_patterns(patterns)
+        merged, total, files = dictionaries.names_table, len(names), 0
+        for name in lists.get("nameFiles", []):
             try:
                 table = read_name_file(spark, _beside(path, name))
             except AnalysisException:
                 continue
             total += table.count()
             files += 1
-            tables.append(table)
-        names_table = None
-        if tables:
-            merged = tables[0]
-            for table in tables[1:]:
-                merged = merged.unionByName(table)
-            if total <= IN_PLAN_NAMES:
-                dictionaries = dictionaries.add_names(r[0] for r in merged.collect())
-            else:
-                names_table = merged
-        patterns = config.get("patterns") if isinstance(config.get("patterns"), list) else []
-        dictionaries = dictionaries.add_patterns(patterns)
+            merged = table if merged is None else merged.unionByName(table)
         more = {
-            kind: [word for f in config.get(key) or [] for word in _word_list(spark, _beside(path, f))]
+            kind: [word for f in lists.get(key, []) for word in _word_list(spark, _beside(path, f))]
             for kind, key in (("first", "firstNameFiles"), ("last", "lastNameFiles"))
         }
-        if more["first"] or more["last"]:
-            dictionaries = Dictionaries(
-                dictionaries.names, dictionaries.patterns, dictionaries.lists.extended(more["first"], more["last"])
-            )
-        return LoadedConfig(True, dictionaries, total, len(patterns), files, None, names_table)
-    except (AnalysisException, ValueError, TypeError) as problem:
+        word_lists = dictionaries.lists.extended(more["first"], more["last"]) if any(more.values()) else dictionaries.lists
+        dictionaries = replace(dictionaries, lists=word_lists, names_table=merged)
+        return LoadedConfig(True, dictionaries, total, len(patterns), files)
+    except (AnalysisException, AttributeError, TypeError, ValueError) as problem:
         return LoadedConfig(False, base or Dictionaries(), error=str(problem).split("\n")[0])

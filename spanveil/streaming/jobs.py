@@ -3,6 +3,8 @@ they are; here are the stateful parts and the sinks."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -95,13 +97,23 @@ def rate_per_session(
 
 
 def first_findings(occurrences: DataFrame, keys: list[str], time_col: str, lateness: str = "10 minutes") -> DataFrame:
-    """Each (keys, entity) once within the watermark."""
-    marked = occurrences.withWatermark(time_col, lateness)
-    return marked.dropDuplicatesWithinWatermark(keys) if occurrences.isStreaming else marked.dropDuplicates(keys)
+    """Each (keys) once: on a stream the first to arrive within the watermark, on a table the earliest row.
+
+    A table has no late rows, so ``lateness`` doesn't matter there; equal times are settled by the other columns.
+    """
+    if occurrences.isStreaming:
+        return occurrences.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(keys)
+    rest = [time_col, *[c for c in occurrences.columns if c not in (*keys, time_col)]]
+    first = occurrences.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first")).select(*keys, "__first.*")
+    return first.select(*occurrences.columns)
 
 
-def with_stable_tag(occurrences: DataFrame, salt: str) -> DataFrame:
-    """A tag that needs no state and is the same for an entity everywhere: a keyed hash instead of a number."""
+def with_stable_tag(occurrences: DataFrame, secret: str) -> DataFrame:
+    """A tag that needs no state and is the same for an entity everywhere: HMAC-SHA-256 under a secret, whole."""
+    key = secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()
+    key = key.ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key)) for pad in (0x36, 0x5C))
     norm = normal_value(F.col("value"), F.col("placeholder"))
-    digest = F.left(F.sha2(F.concat(F.lit(salt), F.col("placeholder"), F.lit("|"), norm), 256), F.lit(16))
+    message = F.concat(F.col("placeholder"), F.lit("|"), norm).cast("binary")
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
     return occurrences.withColumn("tag", F.concat(F.lit("["), F.col("placeholder"), F.lit("_"), digest, F.lit("]")))
