@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanveil.functions import fixed_values as fixed
+from spanveil.operators.dictionaries import NameLists
 from spanveil.plans.sentences import luhn_sql
 
 SPACES = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -87,36 +88,33 @@ MASK = (
     "WHEN length(value) <= 4 THEN '****' "
     "ELSE substr(value, 1, 2) || repeat('*', CAST(length(value) - 4 AS BIGINT)) || right(value, 2) END"
 )
-DOC_TAGS = f"WITH {core_hits()}, {tagged('doc_id')}"
-
-
 def word_list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
 
 
-def names_sql(lists) -> str:
-    """Known names in ``documents``: every word, looked up and tested against its surroundings."""
+def names_sql(lists, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """Known names in a table's texts: every word, looked up and tested against its surroundings."""
     leads = "|".join(fixed.NAME_LEADS).replace(r"\s", rf"[{SPACES}]")
     keys = "|".join(fixed.NAME_KEYS)
     lead_re = f'(?i)(?:(?:{leads})[{SPACES}]*[:,]?[{SPACES}]*$|"(?:{keys})"[{SPACES}]*:[{SPACES}]*"$)'
     word_re = r"\b([a-zA-Z]{2,})\b"
     return f"""
 WITH cut AS (
-  SELECT doc_id, regexp_extract_all(text, '{word_re}') AS words, string_split_regex(text, '{word_re}') AS gaps FROM documents
+  SELECT {key}, regexp_extract_all({text}, '{word_re}') AS words, string_split_regex({text}, '{word_re}') AS gaps FROM {table}
 ), w AS (
-  SELECT doc_id, i, words[i] AS value, length(gaps[i]) AS gap FROM cut CROSS JOIN UNNEST(range(1, len(words) + 1)) AS t(i)
+  SELECT {key}, i, words[i] AS value, length(gaps[i]) AS gap FROM cut CROSS JOIN UNNEST(range(1, len(words) + 1)) AS t(i)
 ), placed AS (
-  SELECT doc_id, value,
-         CAST(sum(gap + length(value)) OVER (PARTITION BY doc_id ORDER BY i) - length(value) AS BIGINT) AS start FROM w
+  SELECT {key}, value,
+         CAST(sum(gap + length(value)) OVER (PARTITION BY {key} ORDER BY i) - length(value) AS BIGINT) AS start FROM w
 ), cand AS (
-  SELECT p.*, lower(p.value) AS lo, substr(d.text, start + length(p.value) + 1, 10) AS after,
-         substr(d.text, greatest(start - 60, 0) + 1, least(start, 60)) AS before,
-         substr(d.text, greatest(start - 30, 0) + 1, least(start, 30)) AS near
-  FROM placed p JOIN documents d USING (doc_id)
+  SELECT p.*, lower(p.value) AS lo, substr(d.{text}, start + length(p.value) + 1, 10) AS after,
+         substr(d.{text}, greatest(start - 60, 0) + 1, least(start, 60)) AS before,
+         substr(d.{text}, greatest(start - 30, 0) + 1, least(start, 30)) AS near
+  FROM placed p JOIN {table} d USING ({key})
   WHERE lower(p.value) NOT IN {word_list(lists.suppress)}
     AND (lower(p.value) IN {word_list(lists.first | lists.last)} OR lower(p.value) IN {word_list(lists.ambiguous)})
 )
-SELECT doc_id, start, value FROM cand
+SELECT {key}, start, value FROM cand
 WHERE NOT regexp_matches(after, '^,[{SPACES}]*[A-Z]{{2}}\\b')
   AND (lo NOT IN {word_list(lists.ambiguous)}
        OR regexp_matches(before, '{lead_re}')
@@ -127,22 +125,38 @@ WHERE NOT regexp_matches(after, '^,[{SPACES}]*[A-Z]{{2}}\\b')
 IBAN_RE = "(" + fixed.FORMATS["iban"] + ")"
 
 
-def resolved_hits(lists) -> str:
-    """CTE ``h``: hits of the core detectors, account numbers and known names in ``documents`` after the overlaps are
-    settled one by one (earlier start, then specific types, then shorter, then detector order)."""
+def raw_hits(lists, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE ``raw``: every accepted hit of the detectors that the corpus has anything for."""
     order = [d[0] for d in fixed.CATALOGUE]
     core = " UNION ALL ".join(
-        f"SELECT doc_id, {order.index(det)} AS seq, '{kind}' AS placeholder, start, value "
-        f"FROM ({hits('documents', 'doc_id', regex)}) WHERE {rule}"
+        f"SELECT {key}, {order.index(det)} AS seq, '{det}' AS detector, '{kind}' AS placeholder, start, value "
+        f"FROM ({hits(table, key, regex, text)}) WHERE {rule}"
         for det, kind, regex, rule in [*CORE, ("iban", "BANK_ACCOUNT", IBAN_RE, "true")]
     )
-    names = f"SELECT doc_id, {order.index('name_dictionary')} AS seq, 'PERSON_NAME' AS placeholder, start, value FROM ({names_sql(lists)})"
     return (
-        f"raw AS ({core} UNION ALL {names}), "
+        f"raw AS ({core} UNION ALL SELECT {key}, {order.index('name_dictionary')} AS seq, 'name_dictionary' AS detector, "
+        f"'PERSON_NAME' AS placeholder, start, value FROM ({names_sql(lists, table, key, text)}))"
+    )
+
+
+def resolved_hits(lists) -> str:
+    """CTE ``h``: the hits of ``raw_hits`` in ``documents`` after the overlaps are settled one by one (earlier start,
+    then specific types, then shorter, then detector order)."""
+    return (
+        f"{raw_hits(lists)}, "
         "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(value) - "
         f"CASE WHEN placeholder IN {word_list(fixed.SPECIFIC_TYPES)} THEN 1000 ELSE 0 END, length(value), seq) AS i FROM raw), "
-        "walk AS (SELECT doc_id, i, placeholder, start, value, start + length(value) AS reach, true AS taken FROM o WHERE i = 1 UNION ALL "
-        "SELECT o.doc_id, o.i, o.placeholder, o.start, o.value, CASE WHEN o.start >= w.reach THEN o.start + length(o.value) ELSE w.reach END, "
+        "walk AS (SELECT doc_id, i, detector, placeholder, start, value, start + length(value) AS reach, true AS taken FROM o WHERE i = 1 UNION ALL "
+        "SELECT o.doc_id, o.i, o.detector, o.placeholder, o.start, o.value, "
+        "CASE WHEN o.start >= w.reach THEN o.start + length(o.value) ELSE w.reach END, "
         "o.start >= w.reach FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1), "
-        "h AS (SELECT doc_id, placeholder, start, value FROM walk WHERE taken)"
+        "h AS (SELECT doc_id, detector, placeholder, start, value FROM walk WHERE taken)"
     )
+
+
+DOC_TAGS = f"WITH RECURSIVE {resolved_hits(NameLists())}, {tagged('doc_id')}"
+#: Texts that come back from redaction as they were: not blank, and no tag stands for two spellings.
+ROUND_TRIP = (
+    f"{DOC_TAGS}, lossy AS (SELECT doc_id FROM tags GROUP BY doc_id, tag HAVING count(DISTINCT value) > 1) "
+    f"SELECT doc_id, coalesce(regexp_matches(text, '[^{SPACES}]') OR text = '', false) AND doc_id NOT IN (SELECT doc_id FROM lossy) AS ok FROM documents"
+)

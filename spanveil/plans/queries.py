@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.checks import luhn_ok
 from spanveil.functions.dialect import java_regex
-from spanveil.functions.fixed_values import FORMATS, SEED_WORDS
+from spanveil.functions.fixed_values import CATALOGUE, FORMATS, SEED_WORDS
 from spanveil.operators import audit, custom_join, evaluate, scope
 from spanveil.operators.detectors import detector_catalogue
 from spanveil.operators.dictionaries import Dictionaries, NameLists
@@ -165,7 +165,7 @@ def luhn_cards(spark, sf):
     )
 
 
-_PAGE_HITS = sql.core_hits("pages", "page_id", "html")
+_PAGE_HITS = f"{sql.raw_hits(NameLists(), 'pages', 'page_id', 'html')}, h AS (SELECT * FROM raw)"
 
 
 @register(
@@ -174,31 +174,31 @@ _PAGE_HITS = sql.core_hits("pages", "page_id", "html")
 )
 def page_findings(spark, sf):
     pages = read_table(spark, f"{sf}/pages.parquet", "page_id").select("page_id", "html")
-    found = findings(pages, ["page_id"], text_col="html", detectors=CORE, raw=True).where(F.col("detector").isin(CORE))
+    found = findings(pages, ["page_id"], text_col="html", raw=True)
     per_page = found.groupBy("detector", "page_id").agg(F.count(F.lit(1)).alias("n"))
     return per_page.groupBy("detector").agg(F.sum("n").alias("n_found"), F.count(F.lit(1)).alias("n_pages"))
 
 
 @register(
     "detector_usage",
-    f"WITH {sql.core_hits()}, c(position, id, tier) AS (VALUES (5, 'credit_card', 'Financial'), (14, 'ipv4', 'Network'), "
-    "(16, 'email', 'Contact'), (17, 'phone_intl', 'Contact')) "
-    "SELECT c.position, c.id, c.tier, count(h.doc_id) AS n_found FROM c LEFT JOIN h ON h.detector = c.id GROUP BY ALL",
+    f"WITH {sql.raw_hits(NameLists())}, c(position, id, tier) AS (VALUES "
+    + ", ".join(f"({i}, '{d[0]}', '{d[2]}')" for i, d in enumerate(CATALOGUE))
+    + ") SELECT c.position, c.id, c.tier, count(h.doc_id) AS n_found FROM c LEFT JOIN raw h ON h.detector = c.id GROUP BY ALL",
 )
 def detector_usage(spark, sf):
     """The catalogue with the number of findings of each detector."""
-    found = findings(texts(spark, sf), ["doc_id"], detectors=CORE, raw=True).groupBy("detector").agg(
+    found = findings(texts(spark, sf), ["doc_id"], raw=True).groupBy("detector").agg(
         F.count(F.lit(1)).alias("n")
     )
-    catalogue = detector_catalogue(spark).where(F.col("id").isin(CORE))
+    catalogue = detector_catalogue(spark)
     return catalogue.join(found, F.col("id") == F.col("detector"), "left").select(
         "position", "id", "tier", F.coalesce("n", F.lit(0)).alias("n_found")
     )
 
 
 # ------------------------------------------------------------------------------------------------ redaction
-def core_anonymized(spark, sf, *extra: str) -> DataFrame:
-    return anonymize(documents(spark, sf).select("doc_id", "text", *extra), detectors=CORE)
+def all_anonymized(spark, sf, *extra: str) -> DataFrame:
+    return anonymize(documents(spark, sf).select("doc_id", "text", *extra))
 
 
 @register(
@@ -206,7 +206,7 @@ def core_anonymized(spark, sf, *extra: str) -> DataFrame:
     f"{sql.DOC_TAGS} SELECT doc_id, start, start + length(value) AS \"end\", detector, placeholder, value, tag FROM tags",
 )
 def document_findings(spark, sf):
-    found = findings(texts(spark, sf), ["doc_id"], detectors=CORE)
+    found = findings(texts(spark, sf), ["doc_id"])
     return longs(found.select("doc_id", "start", "end", "detector", "placeholder", "value", "tag"), "start", "end")
 
 
@@ -215,27 +215,27 @@ def document_findings(spark, sf):
     f"{sql.DOC_TAGS}, {sql.rendered()} SELECT doc_id, anonymized, n AS n_found FROM red",
 )
 def redact_documents(spark, sf):
-    return core_anonymized(spark, sf).select("doc_id", "anonymized", F.col("count").cast("bigint").alias("n_found"))
+    return all_anonymized(spark, sf).select("doc_id", "anonymized", F.col("count").cast("bigint").alias("n_found"))
 
 
 @register("vault", f"{sql.DOC_TAGS}, {sql.ENTITIES} SELECT doc_id, tag, type, value, first FROM ents")
 def vault(spark, sf):
-    return longs(scope.document_vault(core_anonymized(spark, sf), "doc_id"), "first")
+    return longs(scope.document_vault(all_anonymized(spark, sf), "doc_id"), "first")
 
 
-@register("roundtrip_ok", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
+@register("roundtrip_ok", sql.ROUND_TRIP)
 def roundtrip_ok(spark, sf):
-    done = deanonymize(core_anonymized(spark, sf)).where(F.col("text").rlike(r"\S"))
+    done = deanonymize(all_anonymized(spark, sf))
     return done.select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("ok"))
 
 
-@register("vault_restore", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
+@register("vault_restore", sql.ROUND_TRIP)
 def vault_restore(spark, sf):
     """Redact, keep only the redacted texts and the vault, and restore them by a join."""
-    done = kept(core_anonymized(spark, sf).select("doc_id", "anonymized", "entities"))
+    done = kept(all_anonymized(spark, sf).select("doc_id", "anonymized", "entities"))
     restored = restore_from_vault(done.select("doc_id", "anonymized"), scope.document_vault(done, "doc_id"), "doc_id")
     return (
-        restored.join(texts(spark, sf).where(F.col("text").rlike(r"\S")), "doc_id")
+        restored.join(texts(spark, sf), "doc_id")
         .select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("ok"))
     )
 
@@ -246,7 +246,7 @@ def vault_restore(spark, sf):
     "FROM ents e JOIN documents d USING (doc_id)"
 ))
 def masked_findings(spark, sf):
-    report = audit.entity_report(core_anonymized(spark, sf), ["doc_id"])
+    report = audit.entity_report(all_anonymized(spark, sf), ["doc_id"])
     return longs(report.select("doc_id", "type", F.col("placeholder").alias("tag"), "masked", "line"), "line")
 
 
@@ -257,7 +257,7 @@ def masked_findings(spark, sf):
     "CASE WHEN spot + length(value) + 30 < length(text) THEN '...' ELSE '' END AS context FROM p"
 ))
 def context_snippets(spark, sf):
-    report = audit.entity_report(core_anonymized(spark, sf), ["doc_id"])
+    report = audit.entity_report(all_anonymized(spark, sf), ["doc_id"])
     return report.select("doc_id", F.col("placeholder").alias("tag"), "context")
 
 
@@ -266,22 +266,23 @@ def context_snippets(spark, sf):
     "SELECT doc_id, type, count(*) AS n_entities, string_agg(masked, '|' ORDER BY first) AS masked FROM m GROUP BY doc_id, type"
 ))
 def grouped_by_type(spark, sf):
-    grouped = audit.grouped_by_type(core_anonymized(spark, sf), ["doc_id"])
+    grouped = audit.grouped_by_type(all_anonymized(spark, sf), ["doc_id"])
     return grouped.select("doc_id", "type", F.col("n_entities").cast("bigint"), F.array_join("masked", "|").alias("masked"))
 
 
 @register("text_summary", (
     f"{sql.DOC_TAGS}, {sql.ENTITIES}, k AS (SELECT doc_id, type, min(first) AS f, count(*) AS n FROM ents GROUP BY doc_id, type), "
-    "a AS (SELECT doc_id, string_agg(type, ',' ORDER BY f) AS types, sum(n) AS n_entities FROM k GROUP BY doc_id), "
+    "a AS (SELECT doc_id, string_agg(type, ',' ORDER BY f) AS types FROM k GROUP BY doc_id), "
+    "m AS (SELECT doc_id, string_agg(type || ' ' || tag || ' ' || value, '|' ORDER BY first) AS findings FROM ents GROUP BY doc_id), "
     "c AS (SELECT doc_id, count(*) AS n FROM tags GROUP BY doc_id) "
     "SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS pii_count, c.n IS NULL AS clean, coalesce(a.types, '') AS types, "
-    "CAST(coalesce(a.n_entities, 0) AS BIGINT) AS n_findings FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id)"
+    "coalesce(m.findings, '') AS findings FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"
 ))
 def text_summary(spark, sf):
-    made = audit.text_summary(core_anonymized(spark, sf), ["doc_id"])
+    made = audit.text_summary(all_anonymized(spark, sf), ["doc_id"])
     return made.select(
         "doc_id", F.col("pii_count").cast("bigint"), "clean", F.array_join("detected_types", ",").alias("types"),
-        F.size("findings").cast("bigint").alias("n_findings"),
+        F.array_join(F.transform("findings", lambda f: F.concat_ws(" ", f["type"], f["placeholder"], f["value"])), "|").alias("findings"),
     )
 
 
@@ -290,7 +291,7 @@ def text_summary(spark, sf):
     f"{sql.DOC_TAGS}, {sql.ENTITIES} SELECT d.source, e.type, count(*) AS n_entities FROM ents e JOIN documents d USING (doc_id) GROUP BY ALL"
 ))
 def type_counts(spark, sf):
-    return audit.type_counts(core_anonymized(spark, sf, "source"), ["source"])
+    return audit.type_counts(all_anonymized(spark, sf, "source"), ["source"])
 
 
 @register("pii_profile_by_source", (
@@ -298,7 +299,7 @@ def type_counts(spark, sf):
     "GROUP BY ROLLUP (d.source, t.placeholder)"
 ))
 def pii_profile_by_source(spark, sf):
-    found = findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"], detectors=CORE)
+    found = findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"])
     return audit.profile(found, ["source"])
 
 
@@ -307,7 +308,7 @@ def pii_profile_by_source(spark, sf):
     "ORDER BY n_found DESC, d.source LIMIT 10"
 ))
 def top_sources(spark, sf):
-    found = findings(documents(spark, sf).select("source", "text"), ["source"], detectors=CORE)
+    found = findings(documents(spark, sf).select("source", "text"), ["source"])
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_found")).orderBy(F.desc("n_found"), "source").limit(10)
 
 
@@ -323,9 +324,11 @@ _SEVERITY = (
     "FROM documents d JOIN labels l USING (doc_id) LEFT JOIN v USING (doc_id)",
 )
 def severity_gate(spark, sf):
-    """Verdicts for the labelled texts; the labels join by key after the texts are reduced to their verdicts."""
-    judged = audit.with_verdict(core_anonymized(spark, sf)).select("doc_id", "severity", "clean")
-    return judged.join(table(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "toxic", "severity", "clean")
+    """Verdicts for the labelled texts; only those are searched."""
+    labels = table(spark, sf, "labels")
+    labelled = texts(spark, sf).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    judged = audit.with_verdict(anonymize(labelled)).select("doc_id", "severity", "clean")
+    return judged.join(labels, "doc_id").select("doc_id", "quality", "toxic", "severity", "clean")
 
 
 @register(
@@ -334,22 +337,21 @@ def severity_gate(spark, sf):
     "FROM documents d LEFT JOIN v USING (doc_id) GROUP BY ALL",
 )
 def gate_split(spark, sf):
-    judged = audit.with_lane(core_anonymized(spark, sf, "lang"))
+    judged = audit.with_lane(all_anonymized(spark, sf, "lang"))
     return judged.groupBy("lang", "lane").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # ------------------------------------------------------------------------------------------------ wider scopes
 def _occurrences(spark, sf) -> DataFrame:
-    return kept(findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"], detectors=CORE))
+    return kept(findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"]))
 
 
-_SCOPE_HITS = f"{sql.core_hits()}"
 _BY_SOURCE = (
-    f"WITH h0 AS (WITH {_SCOPE_HITS} SELECT h.*, d.source, h.doc_id * 10000000 + h.start AS pos FROM h JOIN documents d USING (doc_id)), "
+    f"WITH h0 AS (WITH RECURSIVE {sql.resolved_hits(NameLists())} SELECT h.*, d.source, h.doc_id * 10000000 + h.start AS pos FROM h JOIN documents d USING (doc_id)), "
     f"h AS (SELECT * FROM h0), {sql.tagged('source', 'pos')}"
 )
 _CORPUS = (
-    f"WITH h0 AS (WITH {_SCOPE_HITS} SELECT h.*, h.doc_id * 10000000 + h.start AS pos FROM h), "
+    f"WITH h0 AS (WITH RECURSIVE {sql.resolved_hits(NameLists())} SELECT h.*, h.doc_id * 10000000 + h.start AS pos FROM h), "
     f"h AS (SELECT * FROM h0), {sql.tagged('', 'pos')}"
 )
 
@@ -394,7 +396,12 @@ def scope_redaction(spark, sf):
     return done.select("doc_id", F.when(F.col("text").rlike(r"\S"), F.col("anonymized")).otherwise("").alias("anonymized"))
 
 
-@register("scope_restore", f"SELECT doc_id, true AS ok FROM documents WHERE regexp_matches(text, '[^{sql.SPACES}]')")
+@register("scope_restore", (
+    f"{_BY_SOURCE}, lossy AS (SELECT source, tag FROM tags GROUP BY source, tag HAVING count(DISTINCT value) > 1), "
+    "last AS (SELECT source, tag, arg_max(value, pos) AS value FROM tags GROUP BY source, tag), "
+    "off AS (SELECT DISTINCT t.doc_id FROM tags t JOIN last l USING (source, tag) WHERE t.value <> l.value) "
+    "SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM off) AS ok FROM documents"
+))
 def scope_restore(spark, sf):
     """Texts redacted over their source and restored from the source's vault."""
     found = _occurrences(spark, sf)
@@ -402,10 +409,10 @@ def scope_restore(spark, sf):
     numbered = kept(
         scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source", bounds)
     )
-    source = documents(spark, sf).select("doc_id", "source", "text").where(F.col("text").rlike(r"\S"))
+    source = documents(spark, sf).select("doc_id", "source", "text")
     done = scope.redact_in_scope(source, found, numbered, "doc_id", "source")
     restored = restore_from_scope_vault(done, scope.vault(numbered, "source"), "doc_id", "source")
-    return restored.select("doc_id", F.col("restored").eqNullSafe(F.col("text")).alias("ok"))
+    return restored.select("doc_id", F.col("restored").eqNullSafe(F.coalesce("text", F.lit(""))).alias("ok"))
 
 
 _TURN = (
@@ -684,8 +691,8 @@ def session_pii(spark, sf):
 
 @register("first_findings", (
     f"WITH {_EVENT_HITS}, v AS (SELECT *, CASE placeholder WHEN 'EMAIL' THEN 'u' || cast(user_id as string) || '@example.com' "
-    "ELSE '10.0.0.' || cast(user_id % 200 as string) END AS value FROM e) "
-    "SELECT user_id, placeholder, value, min(ts) AS first_ts FROM v GROUP BY ALL"
+    "ELSE '10.0.0.' || cast(user_id % 200 as string) END AS found FROM e) "
+    "SELECT user_id, placeholder, found AS value, min(ts) AS first_ts FROM v GROUP BY user_id, placeholder, found"
 ))
 def first_findings(spark, sf):
     found = jobs.first_findings(_event_findings(spark, sf), ["user_id", "placeholder", "value"], "ts")
