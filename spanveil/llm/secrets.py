@@ -5,8 +5,8 @@ the text is scored: two first-order Markov models over characters, one of random
 identifiers, give a log-likelihood ratio per transition, and tokens above a threshold are reported.
 
 Training: labelled samples of both kinds come from the corpus. Random: digests of documents of the sample, written as
-base64 and as hexadecimal, and the values of base secrets found in it. Ordinary: the words and identifiers of the
-sample that are no such values. The sample is ``sample_docs`` documents (a documented bound), those with the smallest
+base64 and as hexadecimal, and the values of base secrets found in it. Ordinary: the words and identifiers that two
+different texts of the sample share and that are no such values. The sample is ``sample_docs`` documents (a documented bound), those with the smallest
 digests; transition counts are pre-aggregated by Spark, and 65 x 65 log ratios, whatever the sample, become a literal.
 
 Nulls and ties: null and empty texts have no secrets; null ids are carried; repeated rows get equal results; an empty
@@ -33,7 +33,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 STATES = len(ALPHABET) + 1  # state 0: any other character
 SAMPLE_DOCS = 2000
-LEAST_RATIO = 0.7  # nats per transition
+LEAST_RATIO = 3.0  # nats per transition
+BACK_OFF = 5.0
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -79,25 +80,30 @@ def labelled_tokens(docs: DataFrame, text_column: str = "text", sample_docs: int
     )
     random = sample.select(F.explode(F.array_union(made, secret)).alias("token")).distinct()
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_-]{3,}"), F.lit(0)))
-    plain = sample.select(F.explode(words).alias("token")).where(~F.col("token").rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}"))
-    return random, plain.distinct().join(random, "token", "left_anti")
+    plain = sample.select("at", F.explode(words).alias("token")).where(~F.col("token").rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}"))
+    usual = plain.groupBy("token").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("token")
+    return random, usual.join(random, "token", "left_anti")
 
 
 def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """STATES * STATES values: log P(b | a) of random strings over that of ordinary identifiers, with add-one counts."""
+    """STATES * STATES values: log P(b | a) of random strings over that of ordinary identifiers.
+
+    P(b | a) = (n(ab) + BACK_OFF P(b)) / (n(a) + BACK_OFF) with P(b) = (n(b) + 1) / (n + STATES): what a kind of token
+    hardly ever holds stays improbable after characters it hardly ever holds.
+    """
     counted = transitions(random, "random").union(transitions(ordinary, "ordinary")).collect()  # 2 * STATES^2 at most
-    table = {"random": [1.0] * STATES**2, "ordinary": [1.0] * STATES**2}
+    counts = {"random": [0] * STATES**2, "ordinary": [0] * STATES**2}
     for r in counted:
-        table[r["label"]][r["pair"]] += r["n"]
-    out = []
-    for a in range(STATES):
-        rows = {k: v[a * STATES : (a + 1) * STATES] for k, v in table.items()}
-        sums = {k: sum(v) for k, v in rows.items()}
-        out += [
-            round(math.log(rows["random"][b] / sums["random"]) - math.log(rows["ordinary"][b] / sums["ordinary"]), 6)
+        counts[r["label"]][r["pair"]] += r["n"]
+    logs = {}
+    for label, n in counts.items():
+        single = [(sum(n[b::STATES]) + 1) / (sum(n) + STATES) for b in range(STATES)]
+        logs[label] = [
+            math.log((n[a * STATES + b] + BACK_OFF * single[b]) / (sum(n[a * STATES : (a + 1) * STATES]) + BACK_OFF))
+            for a in range(STATES)
             for b in range(STATES)
         ]
-    return out
+    return [round(x - y, 6) for x, y in zip(logs["random"], logs["ordinary"], strict=True)]
 
 
 def ratio(token: Column, ratios: Column) -> Column:
@@ -126,6 +132,7 @@ def secret_spans(
     found = compute_once(narrow, **base_spans(F.col("text")), tokens=match_spans(F.col("text"), TOKEN))
     base = F.concat(*KINDS)
     apart = F.filter("tokens", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    apart = F.filter(apart, lambda t: t["value"].rlike("[A-Za-z]"))  # a number alone is no random string
     return found.select("id", *KINDS, F.filter(apart, lambda t: ratio(t["value"], ratios) >= least_ratio).alias("markov"))
 
 
