@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,19 @@ HOT_ROWS = 100_000
 HOT_KEYS = 10_000
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local session without that setting (tests) takes a temporary folder; a cluster session must set it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spanveil-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows computed once and written to the checkpoint folder, which survives the loss of executors.
 

@@ -697,3 +697,6 @@ def session_pii(spark, sf):
 def first_findings(spark, sf):
     found = jobs.first_findings(_event_findings(spark, sf), ["user_id", "placeholder", "value"], "ts")
     return found.select("user_id", "placeholder", "value", F.col("ts").alias("first_ts"))
+
+
+from spanveil.plans import round_trips  # noqa: E402, F401  (registers its queries)
