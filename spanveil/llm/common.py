@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.operators.skew import kept
+from spanveil.operators.skew import kept, shared_folder
 
 __all__ = ["WORD", "column", "kept", "packed", "read_table", "shared_folder", "text_of", "unpacked", "words_of"]
 
@@ -42,18 +40,5 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").translate(_UPPER) if not (text or "").isascii() else (text or "").lower())
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    A local session without that setting (tests) takes a temporary folder; a cluster session must set it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spanveil-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
