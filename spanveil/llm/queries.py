@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, private_terms, quality, secrets, token_files
 from spanveil.llm.common import read_table, shared_folder
+from spanveil.plans.document_sql import hits
+from spanveil.plans.sentences import luhn_sql
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,66 @@ def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_terms.digest_columns(private_terms.personal_spans(read_table(spark, sf_dir, "documents")))
 
 
+def _personal_data(table: str, key: str, text: str) -> str:
+    """SELECT key, k (place of the kind), kind, start, value of every base span."""
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    octet = "CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) END"
+    kinds = [
+        ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "true"),
+        ("ip", r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)", f"list_max(list_transform(string_split(value, '.'), lambda x: {octet})) <= 255"),
+        ("card", r"([0-9](?:[\x20-]?[0-9])+)", f"length({digits}) BETWEEN 13 AND 19 AND {luhn_sql(digits)}"),
+        ("phone", r"(\+[0-9][\x20().0-9-]+[0-9])", f"length({digits}) BETWEEN 9 AND 15"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT {key}, {k} AS k, '{kind}' AS kind, start, value FROM ({hits(table, key, regex, text)}) WHERE {rule}"
+        for k, (kind, regex, rule) in enumerate(kinds)
+    )
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+e AS ({_personal_data('d', 'doc_id', 'text')}),
+l AS (
+  SELECT doc_id, doc_id * 10000000 + i AS lid, lines[i] AS line,
+         coalesce(list_sum(list_transform(lines[1:i-1], lambda x: length(x) + 1)), 0) AS at
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d) CROSS JOIN UNNEST(range(1, len(lines) + 1)) AS t(i)),
+le AS ({_personal_data('l', 'lid', 'line')}),
+el AS (SELECT * FROM l WHERE lid IN (SELECT lid FROM le)),
+lw AS (
+  SELECT w.lid, w.start, w.value, lower(w.value) AS t
+  FROM ({hits('el', 'lid', f'({private_terms.ANY_CASE_WORD})', 'line')}) w
+  WHERE NOT EXISTS (SELECT 1 FROM le x WHERE x.lid = w.lid AND x.start < w.start + length(w.value) AND w.start < x.start + length(x.value))),
+ents AS (SELECT DISTINCT lid, lower(value) AS c FROM le),
+n_c AS (SELECT c, count(*) AS n_c FROM ents GROUP BY c),
+pairs AS (
+  SELECT c, t, count(*) AS n_ct FROM ents JOIN (SELECT DISTINCT lid, t FROM lw) USING (lid) JOIN el USING (lid)
+  GROUP BY c, t HAVING count(DISTINCT md5(line)) > 1),
+n_t AS (
+  SELECT t, count(*) AS n_t
+  FROM (SELECT unnest(list_distinct(string_split_regex(lower(line), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS t FROM l)
+  WHERE t IN (SELECT t FROM pairs) GROUP BY t),
+scored AS (
+  SELECT c, t, log2(n * n_ct / (n_c::DOUBLE * n_t)) AS pmi, log2(n / n_c) AS ic
+  FROM pairs JOIN n_c USING (c) JOIN n_t USING (t), (SELECT count(*)::DOUBLE AS n FROM l)),
+extra AS (
+  SELECT el.doc_id, el.at + lw.start AS start, any_value(lw.value) AS value,
+         CASE WHEN max(pmi / ic) >= 0.9 THEN 'removed' ELSE 'general' END AS kind
+  FROM lw JOIN ents USING (lid) JOIN scored USING (c, t) JOIN el USING (lid) WHERE pmi >= 0.7 * ic GROUP BY el.doc_id, el.at + lw.start),
+every AS (
+  SELECT doc_id, k, kind, start, value FROM e
+  UNION ALL SELECT doc_id, CASE kind WHEN 'general' THEN 4 ELSE 5 END, kind, start, value FROM extra),
+told AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card,
+         count(*) FILTER (k = 3) AS n_phone,
+         string_agg(kind || ':' || start || ':' || (start + length(value)), ',' ORDER BY k, start) FILTER (k < 4) AS base,
+         string_agg(kind || ':' || start || ':' || (start + length(value)), ',' ORDER BY k, start) AS spans
+  FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of the same text that stays. Rows: all; null id or text: see the operator."""
     found = exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
@@ -184,6 +246,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 ORACLES = {
+    "op2_private_terms": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_near_copies": OP5_SQL,
     "op10_mixing": OP10_SQL,
