@@ -6,8 +6,9 @@ identifiers, give a log-likelihood ratio per transition, and tokens above a thre
 
 Training: labelled samples of both kinds come from the corpus. Random: digests of documents of the sample, written as
 base64 and as hexadecimal, and the values of base secrets found in it. Ordinary: the words and identifiers that two
-different texts of the sample share and that are no such values. The sample is ``sample_docs`` documents (a documented bound), those with the smallest
-digests; transition counts are pre-aggregated by Spark, and 65 x 65 log ratios, whatever the sample, become a literal.
+different texts of the sample share and that are no such values. The sample is about ``sample_docs`` different texts (a
+documented bound), those with the smallest digests; it is chosen where the texts lie, without a sort. Transition counts are
+pre-aggregated by Spark, and 65 x 65 log ratios, whatever the sample, become a literal.
 
 Nulls and ties: null and empty texts have no secrets; null ids are carried; repeated rows get equal results; an empty
 table gives no rows (both models are then uniform). Only the id and text columns are read.
@@ -65,10 +66,10 @@ def transitions(tokens: DataFrame, label: str) -> DataFrame:
 
 def labelled_tokens(docs: DataFrame, text_column: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, DataFrame]:
     """(random, ordinary) tokens of the sample."""
-    sample = kept(
-        docs.select(text_of(text_column).alias("text")).withColumn("at", F.xxhash64("text"))
-        .orderBy("at", F.length("text")).limit(sample_docs)
-    )
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    last = -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+    texts = docs.select(text_of(text_column).alias("text")).withColumn("at", F.xxhash64("text"))
+    sample = kept(texts.where(F.col("at") <= F.lit(last)).dropDuplicates(["at"]))
     digest = F.sha2(F.concat("text", F.lit(":random")), 512)
     made = F.array(
         F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n=]", ""), F.sha2("text", 256), F.md5("text"), F.upper(F.sha1("text"))
