@@ -56,7 +56,8 @@ def runs_for(recall: float, depth: int) -> int:
 
 
 def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per document: id, key (digest of the text), row, digest of its set (null without words), n, tokens, bytes."""
+    """Per document: id, key (digest of the text), row, digest of its set (null without words), n, tokens (32 bits of each
+    sample, to split by) and marks (8 bits of each, to compare by)."""
 
     def work(batches):
         for whole in batches:
@@ -70,14 +71,15 @@ def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     [
                         batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes),
                         pa.array([t.tobytes() for t in tokens], pa.binary()),
+                        pa.array([t.tobytes() for t in tokens.astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "key", "digest", "n", "tokens"],
+                    names=["id", "key", "digest", "n", "tokens", "marks"],
                 )
 
     narrow = docs.select(column(id_column).cast("bigint").alias("id"), text_of(text_column).alias("text")).select(
         "id", F.xxhash64("text").alias("key"), "text"
     )
-    made = narrow.mapInArrow(work, "id bigint, key bigint, digest binary, n bigint, tokens binary")
+    made = narrow.mapInArrow(work, "id bigint, key bigint, digest binary, n bigint, tokens binary, marks binary")
     return kept(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -109,7 +111,7 @@ def chosen_children(rows: DataFrame, runs: range, threshold: float, depth: int)
 
 
 def sketch_links(leaves: DataFrame, threshold: float) -> DataFrame:
-    """(tile, path, block, other, node, comp, tokens) to edges (a, b) that join what the sketches hold similar."""
+    """(path, low, high, node, comp, marks) to edges (a, b) that join what the sketches hold similar."""
     least = math.ceil(sh.SKETCH * (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / sh.SKETCH)))
 
     def compare(batches):
@@ -117,7 +119,7 @@ def sketch_links(leaves: DataFrame, threshold: float) -> DataFrame:
             nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
             if len(nodes) < 2:
                 continue
-            samples = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint32).reshape(-1, sh.SKETCH)[at]
+            samples = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, sh.SKETCH)[at]
             comp = np.unique(table.column("comp").to_numpy()[at], return_inverse=True)[1]
             a, b = [], []
             for k in range(len(nodes) - 1):
@@ -136,20 +138,20 @@ def sketch_links(leaves: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     ordered = leaves.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "node")
-    return ordered.select("path", "low", "high", "node", "comp", "tokens").mapInArrow(compare, "a bigint, b bigint")
+    return ordered.select("path", "low", "high", "node", "comp", "marks").mapInArrow(compare, "a bigint, b bigint")
 
 
 def chosen_path_wave(sets: DataFrame, runs: range, threshold: float, depth: int, small: int) -> DataFrame:
-    """Edges (a, b) found in these runs. ``sets``: node, comp (what earlier waves joined), tokens."""
+    """Edges (a, b) found in these runs. ``sets``: node, comp (what earlier waves joined), tokens, marks."""
     source, edges = sets.withColumn("path", F.lit(0).cast("bigint")), None
-    tokens = sets.select("node", "tokens")
+    tokens, marks = sets.select("node", "tokens"), sets.select("node", "marks")
     for level in range(depth):
         nodes = chosen_children(source, runs, threshold, level)
         open_nodes = (
             nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
             .where("c1 <> c2").select("path", "size")
         )
-        rows = kept(nodes.join(open_nodes, "path").join(tokens, "node"))
+        rows = kept(nodes.join(open_nodes, "path").join(marks, "node"))
         last = level == depth - 1
         leaves = rows if last else rows.where(F.col("size") <= small)
         n = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -160,9 +162,10 @@ def chosen_path_wave(sets: DataFrame, runs: range, threshold: float, depth: int,
         )
         found = sketch_links(tiled, threshold)
         edges = found if edges is None else edges.union(found)
-        source = rows.where(F.col("size") > small)
-        if last or source.isEmpty():
+        larger = rows.where(F.col("size") > small)
+        if last or larger.isEmpty():
             break
+        source = larger.select("path", "node", "comp").join(tokens, "node")
     return edges
 
 
@@ -182,18 +185,18 @@ def near_copies(
         rows.where(F.col("digest").isNotNull()).groupBy("digest")
         .agg(
             F.min(F.struct("row", "id", "key")).alias("at"), F.count(F.lit(1)).alias("n_copies"),
-            F.first("n").alias("n"), F.first("tokens").alias("tokens"),
+            F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"),
         )
-        .select("digest", F.col("at.row").alias("node"), "at.id", "at.key", "n_copies", "n", "tokens")
+        .select("digest", F.col("at.row").alias("node"), "at.id", "at.key", "n_copies", "n", "tokens", "marks")
     )
     total = runs_for(recall, depth)
     classes, edges = None, None
     for runs in (range(0, min(3, total)), range(min(3, total), total)):
-        nodes = sets.select("node", F.col("node").alias("comp"), "tokens")
+        nodes = sets.select("node", F.col("node").alias("comp"), "tokens", "marks")
         if classes is not None:
             nodes = (
-                sets.select("node", "tokens").join(classes, "node", "left")
-                .select("node", F.coalesce("root", "node").alias("comp"), "tokens")
+                sets.select("node", "tokens", "marks").join(classes, "node", "left")
+                .select("node", F.coalesce("root", "node").alias("comp"), "tokens", "marks")
             )
         if len(runs):
             wave = kept(chosen_path_wave(nodes, runs, threshold, depth, small))
