@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 The rule table is built from a list of licenses (label, keyword, name, versions, address) and a few sentence forms: some
-hundreds of regular expressions. A rule runs on a text only if the text has its keyword (a plain byte search, after a
-search for a few words that any license text has). Matches are resolved in the order of priority, then length, then
+hundreds of regular expressions. A rule runs on a text only if the text can match it: it has all words of one of the rule's
+keywords (a plain byte search; for an address, its longest fixed part) and, for a name, the bare name. Matches are resolved in the order of priority, then length, then
 place: a match inside the interval of one that was kept is suppressed, so "general public license" inside a "lesser
 general public license" or inside a full grant sentence doesn't count by itself.
 
@@ -28,9 +28,7 @@ from spanveil.llm import shingles as sh
 from spanveil.llm.common import column, text_of
 
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]  # fixed values
-TRIGGERS = [b"licen", b"spdx", b"creative commons", b"creativecommons", b"cc by", b"cc-by", b"cc0", b"public domain",
-            b"rights reserved", b"copyleft", b"copyright"]
-#: label | keyword | name | versions (each gives rules of its own; blank: none) | address
+#: label | keyword (several: by comma) | name | versions (each gives rules of its own; blank: none) | address
 LICENSES = r"""
 mit | mit | mit(?: \(expat\))?(?: license| licence)? | | opensource\.org/licenses?/mit\b
 mit-0 | no attribution | mit no attribution(?: license)? | | opensource\.org/licenses?/mit-0
@@ -80,8 +78,8 @@ w3c | w3c | w3c (?:software|document)[a-z ]{0,20} license | | w3\.org/consortium
 odbl | open database | open database license | 1.0 | opendatacommons\.org/licenses/odbl
 odc-by | open data commons | open data commons attribution license | 1.0 | opendatacommons\.org/licenses/by
 pddl | public domain dedication | public domain dedication and license | 1.0 | opendatacommons\.org/licenses/pddl
-cc0 | cc0 | (?:creative commons )?(?:cc0|cc zero)(?: universal)? | 1.0 | creativecommons\.org/publicdomain/zero
-cc-by | cc | (?:cc[- ]by|creative commons attribution)(?! ?-? ?(?:nc|nd|sa|non|no|share)) | 2.0 2.5 3.0 4.0 | creativecommons\.org/licenses/by/
+cc0 | cc0, cc zero | (?:creative commons )?(?:cc0|cc zero)(?: universal)? | 1.0 | creativecommons\.org/publicdomain/zero
+cc-by | cc, creative | (?:cc[- ]by|creative commons attribution)(?! ?-? ?(?:nc|nd|sa|non|no|share)) | 2.0 2.5 3.0 4.0 | creativecommons\.org/licenses/by/
 cc-by-sa | cc | cc[- ]by[- ]sa | 2.0 2.5 3.0 4.0 | creativecommons\.org/licenses/by-sa/
 cc-by-nd | cc | cc[- ]by[- ]nd | 2.0 2.5 3.0 4.0 | creativecommons\.org/licenses/by-nd/
 cc-by-nc | cc | cc[- ]by[- ]nc(?![- ](?:sa|nd)) | 2.0 2.5 3.0 4.0 | creativecommons\.org/licenses/by-nc/
@@ -100,11 +98,22 @@ VERSION = r",? ?(?:\(?(?:version|ver\.?|v\.?)? ?)"
 
 
 class Rule:
-    __slots__ = ("label", "keyword", "regex", "priority", "score", "order")
+    __slots__ = ("label", "keyword", "regex", "priority", "score", "order", "needs")
 
-    def __init__(self, label, keyword, regex, priority, score, order):
+    def __init__(self, label, keyword, regex, priority, score, order, needs):
         self.label, self.keyword, self.priority, self.score, self.order = label, keyword.encode(), priority, score, order
-        self.regex = re.compile(re.sub(r" (?!\?)(?![^\[]*\])", r"[\\s*#/]{1,8}", regex).encode())
+        self.regex, self.needs = spaced(regex), needs
+
+
+def spaced(regex: str) -> re.Pattern:
+    """A space stands for whitespace and comment marks."""
+    return re.compile(re.sub(r" (?!\?)(?![^\[]*\])", r"[\\s*#/]{1,8}", regex).encode())
+
+
+def fixed_part(regex: str) -> str:
+    """The longest string that every match of an address holds."""
+    parts = re.split(r"\(\?:.*?\)\??|\[.*?\](?:\{.*?\})?|\\b|\w\?", regex)
+    return max(parts, key=len).replace("\\.", ".")
 
 
 def rules() -> list[Rule]:
@@ -113,20 +122,21 @@ def rules() -> list[Rule]:
     50 mention."""
     made: list[Rule] = []
 
-    def add(label, keyword, regex, priority, score):
-        made.append(Rule(label, keyword, regex, priority, score, len(made)))
+    def add(label, keyword, regex, priority, score, needs=None):
+        made.append(Rule(label, keyword, regex, priority, score, len(made), needs))
 
     for line in LICENSES.strip().splitlines():
         label, keyword, name, versions, address = _fields(line)
         name = rf"(?<![0-9a-z]){name}(?![0-9a-z])"
+        bare = spaced(name)
         for version in [*versions.split(), ""]:
             own = f"{label}-{version if '.' in version else version + '.0'}" if version else label
             number = re.escape(version.removesuffix(".0")) + r"(?:\.0)?" if version.endswith(".0") else re.escape(version) + ("" if "." in version else r"(?:\.0)?")
             tail = VERSION + number + r"(?![0-9.]*[0-9])" if version else ""
             add(own, "spdx", rf"spdx-license-identifier: ?\(?{re.escape(own.removesuffix('.0') if label == 'x11' else own)}(?:-only|-or-later|\+)?(?![0-9a-z.-])", 100, 1.0)
-            add(own, keyword, GRANT + name + tail, 90 if version else 80, 0.95 if version else 0.9)
-            add(own, keyword, name + tail, 60 if version else 50, 0.8 if version else 0.6)
-        add(label, "/" if "/" in address else keyword, address, 70, 0.85)
+            add(own, keyword, GRANT + name + tail, 90 if version else 80, 0.95 if version else 0.9, bare)
+            add(own, keyword, name + tail, 60 if version else 50, 0.8 if version else 0.6, bare)
+        add(label, fixed_part(address), address, 70, 0.85)
     return made
 
 
@@ -145,10 +155,10 @@ def _fields(line: str) -> list[str]:
 
 def detections(text: bytes, table: list[Rule]) -> list[tuple[int, int, Rule]]:
     """Matches of a lower-case text after suppression, by start."""
-    if not any(t in text for t in TRIGGERS):
-        return []
-    has = {k: k in text for k in {r.keyword for r in table}}
-    found = [(m.start(), m.end(), r) for r in table if has[r.keyword] for m in r.regex.finditer(text)]
+    has = {k: any(all(w in text for w in option.split()) for option in k.split(b",")) for k in {r.keyword for r in table}}
+    able = [r for r in table if has[r.keyword]]
+    named = {n: n.search(text) is not None for n in {r.needs for r in able} if n}
+    found = [(m.start(), m.end(), r) for r in able if named.get(r.needs, True) for m in r.regex.finditer(text)]
     found.sort(key=lambda f: (-f[2].priority, f[0] - f[1], f[0], f[2].order))
     kept: list[tuple[int, int, Rule]] = []
     starts: list[int] = []

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from re import _parser
+
 import pytest
 
 from spanveil.llm import licenses as lic
@@ -41,6 +44,40 @@ def test_there_are_hundreds_of_rules_and_suppression_is_by_containment():
     assert sorted((a, b, r.label) for a, b, r in plain) == [(a, b, r.label) for a, b, r in lic.detections(text, RULES)]
 
 
+def sample(tree, rng):
+    """A random string of a parsed regex (look-around left out)."""
+    out = ""
+    for op, arg in tree:
+        if op is _parser.LITERAL:
+            out += chr(arg)
+        elif op is _parser.IN:
+            kind, value = rng.choice([x for x in arg if x[0] is not _parser.NEGATE])
+            negated = arg[0][0] is _parser.NEGATE
+            out += "x" if negated else rng.choice(" \n") if kind is _parser.CATEGORY else chr(value if kind is _parser.LITERAL else rng.randint(*value))
+        elif op is _parser.MAX_REPEAT:
+            low, high, own = arg
+            out += "".join(sample(own, rng) for _ in range(rng.randint(low, min(int(high), low + 3))))
+        elif op is _parser.SUBPATTERN:
+            out += sample(arg[3], rng)
+        elif op is _parser.BRANCH:
+            out += sample(rng.choice(arg[1]), rng)
+        else:
+            assert op in (_parser.ASSERT, _parser.ASSERT_NOT, _parser.AT), op
+    return out
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: f"{r.order}-{r.label}")
+def test_every_rule_fires_on_a_text_made_from_it_alone(rule):
+    rng, seen = random.Random(rule.order), 0
+    for _ in range(30):
+        text = sample(_parser.parse(rule.regex.pattern), rng).encode()
+        m = rule.regex.search(text)
+        if m:  # look-around can refuse a sample
+            seen += 1
+            assert any(a <= m.start() and m.end() <= b for a, b, _ in lic.detections(text, RULES)), text
+    assert seen
+
+
 def test_words_and_places(spark):
     pairs = awkward(spark) + [(70, "MIT-license É mit\n\tLicense permit license mit licenses"), (71, prose(4, 3000) + " Apache. License " + prose(5, 10)),
                               (72, "GNU general PUBLIC license, general public license")]
