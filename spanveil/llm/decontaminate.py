@@ -1,15 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Seeds are the n-grams of words of the test items. One pass counts in how many documents each seed occurs; of the seeds
-an item has in the corpus, those in at most ``rare_factor`` times as many documents as the middle one are its rare seeds.
-So an item that leaked a million times keeps its seeds, copies that were edited here or there do not lose theirs to
-others', and stock phrases start no alignment. A second pass finds the rare seeds in every whole
-text, gathers those of one item that lie within an item's length, and aligns the item with that stretch of the text:
-local alignment of words, +2 for a match, -1 for another word or a gap, divided by the best possible score. Edited or
-paraphrased copies keep some seeds and most of the score.
+Seeds are the n-grams of words of the test items. One pass finds the seeds in every whole text, gathers those of one item
+that lie within an item's length, and aligns the item with that stretch of the text: local alignment of words, +2 for a
+match, -1 for another word or a gap, divided by the best possible score. Edited or paraphrased copies keep some seeds and
+most of the score. Every seed starts an alignment, however many documents hold it, so nothing depends on how often an item
+or a version of it occurs; a stretch that holds too few of the item's words for the threshold is not aligned.
 
 The seeds are broadcast in blocks of at most ``BLOCK_WORDS`` words of test items (about 40 MB); a larger benchmark takes
-more passes, never a larger broadcast. Nothing of the corpus but counts of seeds leaves its partition.
+more passes, never a larger broadcast. Nothing of the corpus but the found rows leaves its partition.
 
 Nulls and ties: null and empty texts and items match nothing; an item shorter than a seed is one seed; items with a null
 id are matched and reported with it; repeated items and documents are each reported. An empty benchmark or corpus gives
@@ -29,7 +27,6 @@ from spanveil.llm import shingles as sh
 from spanveil.llm.common import column, text_of
 
 SEED = 4
-RARE_FACTOR = 4.0
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISS = 2.0, -1.0
@@ -48,38 +45,17 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seeds, first, self.times = np.unique(seeds[order], return_index=True, return_counts=True)
         self.first, self.item = first, item[order]
-        self.keep(np.ones(len(self.seeds), bool), None)
-
-    def keep(self, present: np.ndarray, rare: np.ndarray | None) -> None:
-        """Look for the seeds marked in ``present``; ``rare`` marks the places (seed in an item) that start alignments."""
-        self.place_ok = np.ones(len(self.item), bool) if rare is None else rare
-        self.look = np.flatnonzero(present)
-        self.sorted = self.seeds[self.look]
         self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[(self.sorted >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.bitmap[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def find(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose seed is looked for, and the seeds' numbers."""
         at = np.flatnonzero(self.bitmap[(seeds >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(at) or not len(self.sorted):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.sorted, seeds[at]), len(self.sorted) - 1)
-        hit = self.sorted[k] == seeds[at]
-        return at[hit], self.look[k[hit]]
-
-    def choose_rare(self, documents: np.ndarray, factor: float) -> None:
-        seed = np.repeat(np.arange(len(self.seeds)), self.times)
-        n = documents[seed]
-        rare = np.zeros(len(seed), bool)
-        by_item = np.argsort(self.item, kind="stable")
-        bounds = np.searchsorted(self.item[by_item], np.arange(len(self.ids) + 1))
-        for item in np.unique(self.item[n > 0]):
-            own = by_item[bounds[item] : bounds[item + 1]]
-            own = own[n[own] > 0]
-            rare[own] = n[own] <= factor * np.median(n[own])
-        present = np.zeros(len(self.seeds), bool)
-        present[seed[rare]] = True
-        self.keep(present, rare)
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.seeds, seeds[at]), len(self.seeds) - 1)
+        hit = self.seeds[k] == seeds[at]
+        return at[hit], k[hit]
 
     def matches(self, words: np.ndarray, seeds: np.ndarray, threshold: float) -> list[tuple]:
         """(item, score, first word, last word + 1, seeds) of one text's aligned items."""
@@ -89,8 +65,7 @@ class Items:
         times = self.times[which]
         position = np.repeat(at, times)
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[which], times)
-        use = self.place_ok[place]
-        position, item = position[use], self.item[place[use]]
+        item = self.item[place]
         order = np.lexsort((position, item))
         position, item = position[order], item[order]
         length = np.diff(self.firsts)[item]
@@ -148,35 +123,10 @@ def seeds_of(texts: pa.Array, seed: int):
     return words, firsts, *sh.shingle_runs(words, firsts, seed)
 
 
-def seed_counts(texts: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each seed of the block occurs."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
-
-    def work(batches):
-        items = shared.value
-        found = np.zeros(len(items.seeds), np.int64)
-        for whole in batches:
-            for batch in sh.slices(whole, 0):
-                _, _, seeds, at = seeds_of(batch.column(0), items.seed)
-                position, which = items.find(seeds)
-                text = np.searchsorted(at, position, side="right") - 1
-                found += np.bincount(np.unique(np.stack([text, which]), axis=1)[1], minlength=len(found))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["seed", "n"])
-
-    total = np.zeros(len(items.seeds), np.int64)
-    parts = texts.mapInArrow(work, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    for r in parts.collect():  # at most one row per seed of the block
-        total[r["seed"]] = r["n"]
-    return total
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame, item_column, item_text, text_column, seed, factor):
-    """Broadcasts of all blocks, with their rare seeds chosen."""
-    texts, context = docs.select(text_of(text_column).alias("text")), docs.sparkSession.sparkContext
+def prepared(docs: DataFrame, benchmark: DataFrame, item_column, item_text, seed):
+    """Broadcasts of all blocks."""
     for items in item_blocks(benchmark, item_column, item_text, seed):
-        items.choose_rare(seed_counts(texts, items), factor)
-        yield context.broadcast(items)
+        yield docs.sparkSession.sparkContext.broadcast(items)
 
 
 def leaks(
@@ -187,7 +137,6 @@ def leaks(
     item_column: str = "item_id",
     item_text: str = "text",
     seed: int = SEED,
-    rare_factor: float = RARE_FACTOR,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """A row for each document and test item it holds: id, item_id, score, start, end (words), n_seeds."""
@@ -195,7 +144,7 @@ def leaks(
     schema = f"id {kinds[0]}, item_id {kinds[1]}, score double, start bigint, end bigint, n_seeds bigint"
     narrow = docs.select(column(id_column).alias("id"), text_of(text_column).alias("text"))
     found = None
-    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_factor):
+    for shared in prepared(docs, benchmark, item_column, item_text, seed):
         part = narrow.mapInArrow(_pairs(shared, threshold), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
@@ -230,7 +179,6 @@ def without_leaks(
     item_column: str = "item_id",
     item_text: str = "text",
     seed: int = SEED,
-    rare_factor: float = RARE_FACTOR,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents that hold no test item, with the columns of ``docs``."""
@@ -252,6 +200,6 @@ def without_leaks(
         return F.arrow_udf(work, "boolean")
 
     rows = docs
-    for shared in prepared(docs, benchmark, item_column, item_text, text_column, seed, rare_factor):
+    for shared in prepared(docs, benchmark, item_column, item_text, seed):
         rows = rows.where(~holds(shared)(text_of(text_column)))
     return rows

@@ -71,6 +71,17 @@ def test_finds_copies_and_edits_and_nothing_else(spark, monkeypatch):
         assert sorted(repr(r.doc_id) for r in clean.collect()) == sorted(repr(i) for i, _ in pairs if i not in bad)
 
 
+def test_a_group_of_edited_copies_beside_one_exact_copy(spark):
+    item = [f"w{k}" for k in range(24)]
+    edited = [w if k % 5 != 4 else "edited" for k, w in enumerate(item)]
+    pairs = [(0, prose(1, 30) + " " + " ".join(item))] + [(k, prose(k, 30) + " " + " ".join(edited) + " " + prose(k + 50, 20)) for k in range(1, 9)]
+    pairs += [(100 + k, prose(k + 200, 60) + " w5 w6 w7 w8") for k in range(40)]  # a stock phrase of the item
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = table(spark, pairs).repartition(3)
+    assert sorted(r.id for r in d.leaks(docs, bench).collect()) == list(range(9))
+    assert sorted(r.doc_id for r in d.without_leaks(docs, bench).collect()) == list(range(100, 140))
+
+
 def test_empty(spark):
     _, bench = benchmark(spark)
     docs = table(spark, [(1, "a b c d e")])
