@@ -9,7 +9,8 @@ or a version of it occurs; a stretch that holds too few of the item's words for
 The seeds are broadcast in blocks of at most ``BLOCK_WORDS`` words of test items (about 40 MB); a larger benchmark takes
 more passes, never a larger broadcast. Nothing of the corpus but the found rows leaves its partition.
 
-Nulls and ties: null and empty texts and items match nothing; an item shorter than a seed is one seed; items with a null
+Nulls and ties: null and empty texts and items match nothing; an item shorter than a seed is found only in
+documents of exactly its words, not inside longer ones; items with a null
 id are matched and reported with it; repeated items and documents are each reported. An empty benchmark or corpus gives
 no rows. Columns of any other name are carried along by ``without_leaks``.
 """
