@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, mixing, paragraphs, private_terms, quality, secrets, token_files
+from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, line_dedup, mixing, paragraphs, private_terms, quality, secrets, token_files
 from spanveil.llm.common import read_table, shared_folder
 from spanveil.plans.document_sql import hits
 from spanveil.plans.sentences import luhn_sql
@@ -233,6 +233,31 @@ SELECT doc_id, size, source_size, target,
 FROM ties
 """
 
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that five or more of them share: how many went, and a digest of what is left."""
+    found = line_dedup.deduplicated(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"), "n_lines", F.size("places").cast("bigint").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line,
+         translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+  CROSS JOIN UNNEST(range(1, len(l) + 1)) AS t(i)),
+hot AS (
+  SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN hot USING (k) GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_private_terms": op2_private_terms,
@@ -244,10 +269,12 @@ QUERIES = {
     "op8_paragraphs": op8_paragraphs,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
     "op2_private_terms": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_near_copies": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
