@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, decontaminate, exact_dedup, licenses, line_dedup, mixing, paragraphs, private_terms, quality, secrets, token_files
+from spanveil.llm import chosen_path, conversation_repair, decontaminate, exact_dedup, licenses, line_dedup, mixing, paragraphs, private_terms, quality, secrets, token_files
 from spanveil.llm.common import read_table, shared_folder
 from spanveil.plans.document_sql import hits
 from spanveil.plans.sentences import luhn_sql
@@ -235,6 +235,94 @@ FROM ties
 
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a checksum: its faults, the cheapest repair and a digest of the repaired turns."""
+    rows = conversation_repair.turns(read_table(spark, sf_dir, "conversations"))
+    hurt = conversation_repair.damaged(rows)
+    plans = conversation_repair.kept(conversation_repair.repair_plans(hurt))
+    digests = conversation_repair.repaired_digests(hurt, plans)
+    found = plans.join(digests.withColumnRenamed("conv_id", "own"), F.col("conv_id").eqNullSafe(F.col("own")))
+    every = rows.select(F.col("conv_id").alias("every_id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every_id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _repair_sql() -> str:
+    """Suffix by suffix: per state the least (cost, audit, repaired turns) of the rows from a place on."""
+    after = {"s": "u", "u": "a", "a": "u", "n": "u"}  # n: no turn yet
+    named = {"u": "user", "a": "assistant"}
+
+    def way(cost, audit, out, rest):
+        return f"{{'c': {cost} + {rest}.c, 'e': '{audit}' || {rest}.e, 'o': {out} || {rest}.o}}"
+
+    def best(state):
+        ways = [way("3", "D", "''", f"f.{state}")]
+        turn = f"chr(10) || '{named[after[state]]}' || ':' || r.text"
+        ways.append(f"CASE WHEN r.fault IN (0, 3) THEN {way('2 + (r.fault = 3)::INT', 'R', turn, 'f.' + after[state])} END")
+        for initial in [after[state]] + (["s"] if state == "n" else []):
+            own = way("(r.fault = 3)::INT", "K", "chr(10) || r.role || ':' || r.text", "f." + initial)
+            ways.append(f"CASE WHEN r.fault IN (0, 3) AND r.initial = '{initial}' THEN {own} END")
+        return f"list_min([{', '.join(ways)}]) AS {state}"
+
+    def with_inserts(state):
+        one, two = after[state], after[after[state]]
+        turn = lambda t: f"chr(10) || '{named[t]}:'"
+        ways = [f"b.{state}", way("2", "I", turn(one), f"b.{one}"), way("4", "II", f"{turn(one)} || {turn(two)}", f"b.{two}")]
+        return f"list_min([{', '.join(ways)}]) AS {state}"
+
+    states = ("n", "s", "u", "a")
+    done, never = "{'c': 0::BIGINT, 'e': '', 'o': ''}", "{'c': 1000000::BIGINT, 'e': '', 'o': ''}"
+    ends = ", ".join(f"{done if state in 'na' else never} AS {state}" for state in states)
+    return rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+      lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS h
+  FROM src),
+hurt AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit CROSS JOIN UNNEST(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) WHERE h <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM hurt),
+rows AS (
+  SELECT conv_id, turn, role, text, initial, i, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 1
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+              WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 3
+              ELSE 0 END AS fault
+  FROM placed),
+told AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id),
+best AS (
+  SELECT conv_id, i, {', '.join(with_inserts(s) for s in states)}
+  FROM (SELECT conv_id, n + 1 AS i, {ends} FROM told) b
+  UNION ALL
+  SELECT conv_id, i, {', '.join(with_inserts(s) for s in states)}
+  FROM (SELECT r.conv_id, r.i, {', '.join(best(s) for s in states)}
+        FROM best f JOIN rows r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i - 1) b)
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.n.c, 0) AS cost,
+       coalesce(b.n.e, '') AS audit, sha256(substr(coalesce(b.n.o, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM src) s
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM s.conv_id AND b.i = 1
+"""
+
+
+OP12_SQL = _repair_sql()
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more of them share: how many went, and a digest of what is left."""
     found = line_dedup.deduplicated(read_table(spark, sf_dir, "documents"))
@@ -269,6 +357,7 @@ QUERIES = {
     "op8_paragraphs": op8_paragraphs,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op12_conversations": op12_conversations,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
@@ -276,5 +365,6 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op5_near_copies": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_conversations": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
 }
