@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chosen_path, conversation_repair, decontaminate, exact_dedup, licenses, line_dedup, mixing, paragraphs, private_terms, quality, secrets, token_files
+from spanveil.llm import centroids, chosen_path, conversation_repair, decontaminate, exact_dedup, licenses, line_dedup, mixing, paragraphs, private_terms, quality, secrets, token_files
 from spanveil.llm.common import read_table, shared_folder
 from spanveil.plans.document_sql import hits
 from spanveil.plans.sentences import luhn_sql
@@ -235,6 +235,51 @@ FROM ties
 
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds of 40 centroids, with exact distances and sums."""
+    return centroids.with_inertia(*centroids.clustered(read_table(spark, sf_dir, "embeddings"))).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    """The rounds one after another; distances over lists of integers, means by floored division of exact sums."""
+
+    def near(k: int) -> str:
+        apart = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        return (
+            f"near{k} AS MATERIALIZED (SELECT vec_id, q, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance "
+            f"FROM (SELECT v.vec_id, v.q, c.cluster, {apart}::BIGINT AS d FROM kept v, centres{k} c) GROUP BY vec_id, q)"
+        )
+
+    steps = []
+    for k in range(rounds):
+        steps.append(near(k))
+        steps.append(
+            f"means{k} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q "
+            f"FROM (SELECT cluster, i, sum(q[i]) AS s, count(*) AS n FROM near{k}, range(1, 65) AS t(i) GROUP BY cluster, i) "
+            f"GROUP BY cluster), "
+            f"centres{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM centres{k} c LEFT JOIN means{k} m USING (cluster))"
+        )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+centres0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1)::INT AS cluster, q
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < 40),
+{', '.join(steps)},
+{near(rounds)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN centres{rounds} c USING (cluster)
+"""
+
+
+OP11_SQL = _centroid_sql()
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a checksum: its faults, the cheapest repair and a digest of the repaired turns."""
     rows = conversation_repair.turns(read_table(spark, sf_dir, "conversations"))
@@ -357,6 +402,7 @@ QUERIES = {
     "op8_paragraphs": op8_paragraphs,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
     "op12_conversations": op12_conversations,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -365,6 +411,7 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op5_near_copies": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_centroids": OP11_SQL,
     "op12_conversations": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
 }
