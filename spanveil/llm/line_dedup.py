@@ -64,7 +64,8 @@ def dropped_places(
 ) -> DataFrame:
     """id, key, places: the positions of the lines that go, ascending, for each document that loses any."""
     lines = kept(line_rows(docs, id_column, text_column, least_chars))
-    gone = lines.join(repeated_keys(lines, least_docs), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    repeated = kept(repeated_keys(lines, least_docs))  # written, so that the join's sides are plain exchanges, which can be split
+    gone = lines.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     return gone.groupBy("id", "key").agg(F.array_sort(F.collect_set("at")).alias("places"))
 
 
