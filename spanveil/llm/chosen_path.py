@@ -6,8 +6,10 @@ by a hash of (run, path, token) with probability 1 / (threshold * SKETCH), the s
 goes on to every child whose token it holds. Two sets of the threshold's similarity share one child on average, so they
 stay together with a probability that falls only slowly with depth; unlike sets part at once. A node of at most
 ``small`` sets is compared by brute force on the sketches; so is any node at the last depth, in blocks. Runs repeat
-until a pair at the threshold is found with probability ``recall``; they come in waves, and a node whose sets were all
-joined in earlier waves is done already, so large groups of near copies cost their comparison once.
+until a pair at the threshold is found with probability ``recall``. The first run goes alone: what it joins gets one label,
+and the other runs leave out nodes whose sets have all one label and compare no two sets of one label, so large groups of
+near copies cost their comparison once. A membership of the tree is a path, a set and its label; the samples (2 bits of
+each) meet it only where it is compared.
 
 The join on sketches keeps what a sketch can tell to be similar (a margin of 4 standard errors below the threshold) and
 hands on classes, not pairs. An exact check on the whole sets follows in each class, tile by tile, where every pair of
@@ -37,7 +39,7 @@ from spanveil.llm.verify import blocks, exact_links
 THRESHOLD = 0.8
 RECALL = 0.999
 DEPTH = 3
-SMALL = 500  # sets of a node that is compared at once instead of split further
+SMALL = 2048  # sets of a node that is compared at once instead of split further
 BLOCK = 4096  # sets of a block when a node of the last depth is compared in blocks
 MARGIN = 4.0  # standard errors
 BROADCAST_ROWS = 500_000  # candidates that are broadcast (about 40 MB); more are joined by shuffle
@@ -56,8 +58,8 @@ def runs_for(recall: float, depth: int) -> int:
 
 
 def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per document: id, key (digest of the text), row, digest of its set (null without words), n, tokens (32 bits of each
-    sample, to split by) and marks (8 bits of each, to compare by)."""
+    """Per document: id, key (digest of the text), row, digest of its set (null without words), n and tokens (32 bits of each
+    sample)."""
 
     def work(batches):
         for whole in batches:
@@ -71,20 +73,33 @@ def sketch_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     [
                         batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes),
                         pa.array([t.tobytes() for t in tokens], pa.binary()),
-                        pa.array([t.tobytes() for t in tokens.astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "key", "digest", "n", "tokens", "marks"],
+                    names=["id", "key", "digest", "n", "tokens"],
                 )
 
     narrow = docs.select(column(id_column).cast("bigint").alias("id"), text_of(text_column).alias("text")).select(
         "id", F.xxhash64("text").alias("key"), "text"
     )
-    made = narrow.mapInArrow(work, "id bigint, key bigint, digest binary, n bigint, tokens binary, marks binary")
+    made = narrow.mapInArrow(work, "id bigint, key bigint, digest binary, n bigint, tokens binary")
     return kept(made.withColumn("row", F.monotonically_increasing_id()))
 
 
+def marks_of(sets: DataFrame) -> DataFrame:
+    """node and the last 2 bits of each of its tokens, SKETCH / 4 bytes, to compare by."""
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, sh.SKETCH)
+            bits = np.packbits(np.stack([tokens >> 1 & 1, tokens & 1], 2).astype(np.uint8).reshape(len(tokens), -1), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in bits], pa.binary())], names=["node", "marks"])
+
+    return sets.select("node", "tokens").mapInArrow(work, "node bigint, marks binary")
+
+
 def chosen_children(rows: DataFrame, runs: range, threshold: float, depth: int) -> DataFrame:
-    """(path, node, tokens, comp) to the children each set chooses: (path, node, comp). At depth 0 ``path`` is unused
+    """(path, node, comp, tokens) to the children each set chooses: (path, node, comp). At depth 0 ``path`` is unused
     and every run makes its own children."""
     limit = np.uint64(min(1.0, 1 / (threshold * sh.SKETCH)) * 2.0**64)
     place = sh.mix(np.arange(sh.SKETCH, dtype=np.uint64) + np.uint64(1))
@@ -111,62 +126,72 @@ def chosen_children(rows: DataFrame, runs: range, threshold: float, depth: int)
 
 
 def sketch_links(leaves: DataFrame, threshold: float) -> DataFrame:
-    """(path, low, high, node, comp, marks) to edges (a, b) that join what the sketches hold similar."""
-    least = math.ceil(sh.SKETCH * (threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / sh.SKETCH)))
+    """(path, low, high, node, comp, marks) to edges (a, b): in each tile, what the sketches hold similar is joined, label by
+    label; a group of labels has one edge from each of them to the group's smallest node."""
+    agree = threshold + (1 - threshold) / 4  # the chance that 2 bits of a sample agree
+    least = math.ceil(sh.SKETCH * (agree - MARGIN * math.sqrt(agree * (1 - agree) / sh.SKETCH)))
+    pairs = np.uint64(0x5555555555555555)
 
     def compare(batches):
         for _, table in sh.groups_of(batches, 3):
             nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
             if len(nodes) < 2:
                 continue
-            samples = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, sh.SKETCH)[at]
-            comp = np.unique(table.column("comp").to_numpy()[at], return_inverse=True)[1]
-            a, b = [], []
+            marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint64).reshape(-1, sh.SKETCH // 32)[at]
+            labels = np.unique(table.column("comp").to_numpy()[at], return_inverse=True)[1]
+            comp = labels.copy()
             for k in range(len(nodes) - 1):
                 rest = k + 1 + np.flatnonzero(comp[k + 1 :] != comp[k])
-                for lo in range(0, len(rest), 8192):
-                    part = rest[lo : lo + 8192]
-                    near = part[(samples[part] == samples[k]).sum(1) >= least]
-                    new = [int(comp[j]) for j in near]
-                    if new:
-                        first = {c: j for c, j in zip(reversed(new), reversed(near), strict=True)}
-                        for j in first.values():
-                            a.append(nodes[k])
-                            b.append(nodes[j])
-                        comp[np.isin(comp, new)] = comp[k]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if not len(rest):
+                    continue
+                apart = marks[rest] ^ marks[k]
+                apart = np.bitwise_count((apart | apart >> np.uint64(1)) & pairs).sum(1)
+                near = rest[sh.SKETCH - apart >= least]
+                if len(near):
+                    comp[np.isin(comp, comp[near])] = comp[k]
+            first = np.unique(labels, return_index=True)[1]  # one node of each label, the smallest
+            root = np.full(len(first), len(nodes))
+            np.minimum.at(root, comp[first], first)
+            a, b = nodes[first], nodes[root[comp[first]]]
+            if (a != b).any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
     ordered = leaves.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "node")
     return ordered.select("path", "low", "high", "node", "comp", "marks").mapInArrow(compare, "a bigint, b bigint")
 
 
 def chosen_path_wave(sets: DataFrame, runs: range, threshold: float, depth: int, small: int) -> DataFrame:
-    """Edges (a, b) found in these runs. ``sets``: node, comp (what earlier waves joined), tokens, marks."""
-    source, edges = sets.withColumn("path", F.lit(0).cast("bigint")), None
-    tokens, marks = sets.select("node", "tokens"), sets.select("node", "marks")
+    """Edges (a, b) found in these runs. ``sets``: node, comp (the label that earlier runs gave), tokens."""
+    source, leaves = sets.withColumn("path", F.lit(0).cast("bigint")), None
     for level in range(depth):
         nodes = chosen_children(source, runs, threshold, level)
         open_nodes = (
             nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
             .where("c1 <> c2").select("path", "size")
         )
-        rows = kept(nodes.join(open_nodes, "path").join(marks, "node"))
+        rows = kept(nodes.join(open_nodes, "path"))
         last = level == depth - 1
-        leaves = rows if last else rows.where(F.col("size") <= small)
-        n = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), n).cast("int")
-        tiled = (
-            leaves.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        )
-        found = sketch_links(tiled, threshold)
-        edges = found if edges is None else edges.union(found)
+        here = rows if last else rows.where(F.col("size") <= small)
+        leaves = here if leaves is None else leaves.union(here)
         larger = rows.where(F.col("size") > small)
         if last or larger.isEmpty():
             break
-        source = larger.select("path", "node", "comp").join(tokens, "node")
-    return edges
+        source = larger.select("path", "node", "comp").join(sets.select("node", "tokens"), "node")
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), n).cast("int")
+    tiled = (
+        leaves.join(marks_of(sets), "node")
+        .withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    )
+    return sketch_links(tiled, threshold)
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """(node, comp): a first guess at the components, by two steps to smaller nodes. Nodes of one label are connected."""
+    one = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    further = one.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    return one.join(further, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
 
 
 def near_copies(
@@ -185,30 +210,27 @@ def near_copies(
         rows.where(F.col("digest").isNotNull()).groupBy("digest")
         .agg(
             F.min(F.struct("row", "id", "key")).alias("at"), F.count(F.lit(1)).alias("n_copies"),
-            F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"),
+            F.first("n").alias("n"), F.first("tokens").alias("tokens"),
         )
-        .select("digest", F.col("at.row").alias("node"), "at.id", "at.key", "n_copies", "n", "tokens", "marks")
+        .select("digest", F.col("at.row").alias("node"), "at.id", "at.key", "n_copies", "n", "tokens")
     )
     total = runs_for(recall, depth)
-    classes, edges = None, None
-    for runs in (range(0, min(3, total)), range(min(3, total), total)):
-        nodes = sets.select("node", F.col("node").alias("comp"), "tokens", "marks")
-        if classes is not None:
-            nodes = (
-                sets.select("node", "tokens", "marks").join(classes, "node", "left")
-                .select("node", F.coalesce("root", "node").alias("comp"), "tokens", "marks")
-            )
-        if len(runs):
-            wave = kept(chosen_path_wave(nodes, runs, threshold, depth, small))
-            edges = wave if edges is None else edges.union(wave)
-            classes = components(edges)
+    nodes = sets.select("node", F.col("node").alias("comp"), "tokens")
+    edges = kept(chosen_path_wave(nodes, range(1), threshold, depth, small))
+    if total > 1:
+        labelled = sets.select("node", "tokens").join(labels_of(edges), "node", "left")
+        nodes = labelled.select("node", F.coalesce("comp", "node").alias("comp"), "tokens")
+        edges = edges.union(kept(chosen_path_wave(nodes, range(1, total), threshold, depth, small)))
+    classes = components(edges)
     members = classes.select("node", F.col("root").alias("comp")).join(sets.select("node", "id", "key", "n"), "node")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("members"))
     sizes = sizes.select("comp", blocks(F.col("rows"), F.col("members")).alias("n_blocks"))
     candidates = members.join(sizes, "comp").select("node", "comp", "n_blocks", "id", "key")
     found = kept(exact_links(shingle_sets(docs, candidates, id_column, text_column), threshold))
     degrees = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    in_one = found.where("not parted").select("node", "root")  # the class was one tile: its roots are final
+    parted = found.where("parted").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = in_one.union(components(parted))
     of_set = kept(
         sets.select("digest", "node", "n_copies").join(degrees, "node", "left").join(roots, "node", "left")
         .select(

@@ -21,6 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+HASHED_BYTES = 256 << 10  # hashed at once, about 32 bytes of memory for each
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -31,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, rows: int = 2048, chars: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text_at: int, rows: int = 2048, chars: int = 2 << 20):
     """Pieces of a batch with bounded rows and text (a longer text comes alone)."""
     column = batch.column(text_at)
     if not len(column):
@@ -52,16 +53,37 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     none = np.empty(0, np.int64)
     if n == 0 or offsets[-1] == offsets[0]:
         return np.empty(0, np.uint64), none, none, np.zeros(n + 1, np.int64)
-    raw = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    found, lo = [], 0
+    while lo < len(raw):
+        hi = _word_end(raw, lo + HASHED_BYTES)
+        inner = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi)] - lo
+        found.append([part + lo if k else part for k, part in enumerate(_hashed(_LOWER[raw[lo:hi]], inner))])
+        lo = hi
+    hashes, starts, ends = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
+
+
+def _word_end(raw: np.ndarray, at: int) -> int:
+    """The first byte from ``at`` on that is in no word, or the end."""
+    while at < len(raw):
+        outside = np.flatnonzero(~_IS_WORD[_LOWER[raw[at : at + 4096]]])
+        if len(outside):
+            return at + int(outside[0])
+        at += 4096
+    return len(raw)
+
+
+def _hashed(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last byte + 1 of the words of these lower-case bytes; texts begin at 0 and at ``cuts``."""
     word = _IS_WORD[raw]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
-    at = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[at] = word[at]
+    begins[cuts] = word[cuts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.empty(0, np.uint64), none, none, np.zeros(n + 1, np.int64)
+        return np.empty(0, np.uint64), starts, starts
     inside = np.flatnonzero(word)
     first = np.flatnonzero(begins[inside])
     sizes = np.diff(np.append(first, len(inside)))
@@ -69,8 +91,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     values = _BYTES[raw[inside], place & 255]
     if sizes.max() > 256:
         values = values * (2 * (place >> 8) + 1).astype(np.uint64)
-    hashes = mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
-    return hashes, starts, starts + sizes, np.searchsorted(starts, offsets)
+    return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64)), starts, starts + sizes
 
 
 def shingle_runs(words: np.ndarray, firsts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

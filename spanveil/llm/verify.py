@@ -19,8 +19,9 @@ def blocks(rows: Column, members: Column) -> Column:
 
 
 def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
-    """``sets``: comp, node, n_blocks and members (sorted array<bigint>). Result: node, links, root for each tile in
-    which the node has links: how many other nodes of the tile are similar, and the tile component's smallest node.
+    """``sets``: comp, node, n_blocks and members (sorted array<bigint>). Result: node, links, root, parted for each tile
+    in which the node has links: how many other nodes of the tile are similar, the tile component's smallest node, and
+    whether its group has further tiles.
 
     A group is dealt into blocks and every two blocks meet in one tile, so each pair of nodes is compared exactly once,
     and no task holds a group. A node that comes twice counts once.
@@ -31,7 +32,7 @@ def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             "comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block",
-            "members",
+            "members", (F.col("n_blocks") > 1).alias("parted"),
         )
         .repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high", "node")
     )
@@ -48,11 +49,14 @@ def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
             counts, roots = found
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[some]), pa.array(counts[some]), pa.array(nodes[roots[some]])],
-                names=["node", "links", "root"],
+                [
+                    pa.array(nodes[some]), pa.array(counts[some]), pa.array(nodes[roots[some]]),
+                    pa.array([table.column("parted")[0].as_py()] * len(some), pa.bool_()),
+                ],
+                names=["node", "links", "root", "parted"],
             )
 
-    return tiled.mapInArrow(compare, "node bigint, links bigint, root bigint")
+    return tiled.mapInArrow(compare, "node bigint, links bigint, root bigint, parted boolean")
 
 
 def links(members: list[np.ndarray], threshold: float, in_first: np.ndarray | None):
