@@ -273,12 +273,23 @@ def shingle_sets(docs: DataFrame, candidates: DataFrame, id_column: str, text_co
 
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents that stay: one of each class, whole rows, columns unchanged."""
-    stays = near_copies(docs, id_column, text_column, **options).where("kept").select("id", "key")
+    """The documents that stay: one of each class, whole rows, columns unchanged.
+
+    Rows are told to go by id and text digest, so whole rows move only where these keys are too many to be broadcast. Where
+    rows repeat both, one of them may stay: such rows, if there are any, are taken apart by a number per key.
+    """
+    found = kept(near_copies(docs, id_column, text_column, **options).select("id", "key", "kept"))
+    goes = found.where("not kept").select("id", "key").distinct()
+    own = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
     rows = docs.select(
         packed(docs), column(id_column).cast("bigint").alias("own_id"), F.xxhash64(text_of(text_column)).alias("own_key")
     )
-    own = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))
+    few = found.where("not kept").count() <= BROADCAST_ROWS
+    stay = unpacked(rows.join(F.broadcast(goes) if few else goes, own, "left_anti"), docs.columns)
+    both = goes.select(F.col("id").alias("own_id"), F.col("key").alias("own_key"))
+    repeats = kept(found.where("kept").select("id", "key").join(both, own, "left_semi"))
+    if repeats.isEmpty():
+        return stay
     one = F.row_number().over(W.partitionBy("own_id", "own_key").orderBy(F.lit(0)))
-    stay = rows.join(stays, own, "left_semi").withColumn("one", one).where("one = 1")
-    return unpacked(stay, docs.columns)
+    again = rows.join(repeats, own, "left_semi").withColumn("one", one).where("one = 1")
+    return stay.unionByName(unpacked(again, docs.columns))
