@@ -125,7 +125,28 @@ def gate_passes(anonymized: DataFrame) -> bool:
 
 
 def profile(occurrences: DataFrame, dims: list[str]) -> DataFrame:
-    """Occurrences per dimension and type with subtotals. Counted first, so that only totals are expanded for the
-    subtotals and no source, however large, meets in one task."""
+    """Occurrences per dimension and type with subtotals; ``level`` (the grouping id) tells a subtotal from a row whose
+    dimension is NULL. Counted first, so that only totals are expanded for the subtotals and no source, however large,
+    meets in one task."""
     counts = occurrences.groupBy(*dims, "placeholder").agg(F.count(F.lit(1)).alias("n"))
-    return counts.rollup(*dims, "placeholder").agg(F.sum("n").alias("n_found"))
+    return counts.rollup(*dims, "placeholder").agg(F.sum("n").alias("n_found"), F.grouping_id().alias("level"))
+
+
+def rates(occurrences: DataFrame, texts: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """Per dimension, with subtotals (``level`` as above): texts, texts with a finding, findings, findings per text.
+
+    Findings are counted per text first (``keys`` name a text), then both tables are added up before the subtotals, so
+    only totals meet; NULL dimensions are groups like any other.
+    """
+    found = occurrences.groupBy(*dims, *keys).agg(F.count(F.lit(1)).alias("n")).groupBy(*dims).agg(
+        F.sum("n").alias("n_found"), F.count(F.lit(1)).alias("n_hit"), F.lit(0).cast("bigint").alias("n_texts")
+    )
+    none = F.lit(0).cast("bigint")
+    every = texts.groupBy(*dims).agg(F.count(F.lit(1)).alias("n_texts")).select(
+        *dims, none.alias("n_found"), none.alias("n_hit"), "n_texts"
+    )
+    totals = found.select(*dims, "n_found", "n_hit", "n_texts").unionByName(every).rollup(*dims).agg(
+        F.sum("n_texts").alias("n_texts"), F.sum("n_hit").alias("n_with_findings"), F.sum("n_found").alias("n_found"),
+        F.grouping_id().alias("level"),
+    )
+    return totals.withColumn("per_text", F.col("n_found") / F.col("n_texts"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as fixed
 from spanveil.functions.dialect import java_regex
@@ -119,4 +120,15 @@ class Dictionaries:
         return Dictionaries(lists=self.lists)
 
     def stats(self) -> dict[str, int]:
-        return {"customNames": len(self.names), "customPatterns": len(self.patterns)}
+        """Distinct names, those of the table included (which is read for it), and patterns."""
+        return {"customNames": self.count_names(), "customPatterns": len(self.patterns)}
+
+    def count_names(self) -> int:
+        if self.names_table is None:
+            return len(self.names)
+        from spanveil.operators.custom_join import prepare_names  # which reads this module
+
+        further = prepare_names(self.names_table)
+        if self.names:
+            further = further.where(~F.col("name").isin(sorted(self.names)))
+        return len(self.names) + further.count()

@@ -116,11 +116,14 @@ def issues(evaluated: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary(evaluated: DataFrame, by: list[str]) -> DataFrame:
-    """Totals, core and strict passes by the given columns with subtotals."""
-    return evaluated.rollup(*by).agg(
+    """Totals, core and strict passes by the given columns, by each of them alone, and over all; ``level`` is the grouping
+    id (a set bit for every column, from the left, that the row adds up over), so a NULL category is no subtotal."""
+    sets = list(dict.fromkeys([tuple(by), *[(c,) for c in by], ()]))
+    return evaluated.groupingSets([list(s) for s in sets], *by).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.col("core_pass").cast("int")).alias("core_passed"),
         F.sum(F.col("strict_pass").cast("int")).alias("strict_passed"),
+        F.grouping_id().alias("level"),
     )
 
 

@@ -19,6 +19,7 @@ from spanveil.operators.skew import kept
 from spanveil.operators.spans import RAW, SPANS, RuleSet, resolve, rules_for, with_raw_spans
 
 TAGGED = "struct<start:int,len:int,seq:int,kind:int,first:int,n:int,value:string>"
+LITERAL_NAMES, LITERAL_BYTES = 2000, 1 << 17
 TAGS, ENTITIES, MULTI = "__veil_tags", "__veil_entities", "__veil_multi"
 
 
@@ -161,10 +162,20 @@ def _prepared(df, text_col, detectors, dictionaries, extra=None):
 
 
 def _with_joined_names(df, text_col, dictionaries, extra=None):
-    """Spans of the names of a table, if there is one. The rows get numbers and are written once, so that the join finds
-    them again whatever keys they have."""
+    """Spans of the names of a table, if there is one.
+
+    A table of few names (LITERAL_NAMES, LITERAL_BYTES, both counted first) becomes part of the plan: no text moves, no copy
+    is written, and streams take it too. Beyond that the rows get numbers and are written once, so that the join finds them
+    again whatever keys they have; a stream can't be joined back and raises an error.
+    """
     if dictionaries is None or dictionaries.names_table is None:
         return df, dictionaries, extra
+    few = dictionaries.names_table.select("name").where("name IS NOT NULL")
+    size = few.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= LITERAL_NAMES and size["bytes"] <= LITERAL_BYTES:
+        return df, replace(dictionaries, names_table=None).add_names([r[0] for r in few.collect()]), extra
+    if df.isStreaming:
+        raise ValueError(f"a stream takes a table of at most {LITERAL_NAMES} names ({LITERAL_BYTES} bytes)")
     numbered = kept(df.withColumn("__veil_row", F.monotonically_increasing_id()))
     names = kept(prepare_names(dictionaries.names_table))
     found = F.col("__veil_names")

@@ -16,14 +16,17 @@ from spanveil.functions.checks import normal_value
 from spanveil.functions.text import chunks_of, slice_text
 from spanveil.operators.skew import lookup_join, null_safe_join, of_unique_keys
 
-BUCKETS = 1024
+BUCKET_ROWS, BUCKETS = 100_000, 8192
 
 
-def position_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list:
-    """Split points of the order column: ``buckets - 1`` approximate quantiles, a small list whatever the data.
+def position_bounds(df: DataFrame, order: str, buckets: int | None = None) -> list:
+    """Split points of the order column: ``buckets - 1`` approximate quantiles, a small list whatever the data. Their
+    number follows from the rows (``BUCKET_ROWS`` to a bucket), up to ``BUCKETS``.
 
     Any bounds give the same numbers; even ones only keep the buckets even.
     """
+    if buckets is None:
+        buckets = min(-(-df.count() // BUCKET_ROWS), BUCKETS)
     if buckets <= 1:
         return []
     probabilities = [i / buckets for i in range(1, buckets)]
@@ -66,10 +69,11 @@ def entities_in_scope(occurrences: DataFrame, scope: str | None, order: list[str
 
 
 def number_entities(
-    entities: DataFrame, scope: str | None, bounds: list | None = None
+    entities: DataFrame, scope: str | None, bounds: list | None = None, always_numbered: bool = False
 ) -> DataFrame:
     """Add ``n`` (rank by first position within scope and type), ``n_entities`` of the type, and ``tag``.
 
+    ``always_numbered`` leaves the number on a type's only entity, as a stream must, which can't know what is to come.
     ``bounds`` are the split points for the leading order column (see ``position_bounds``); none means one bucket.
     """
     keys = ([scope] if scope else []) + ["placeholder"]
@@ -86,7 +90,7 @@ def number_entities(
     )
     name = F.col("placeholder")
     numbered = F.concat(F.lit("["), name, F.lit("_"), F.col("n").cast("string"), F.lit("]"))
-    single = (F.col("n_entities") == 1) & name.rlike(r"\A[A-Z_]+\z")
+    single = (F.col("n_entities") == 1) & name.rlike(r"\A[A-Z_]+\z") & F.lit(not always_numbered)
     return (
         null_safe_join(ranked, offsets, [*keys, "__bucket"])
         .withColumn("n", F.col("__offset") + F.col("__rank"))

@@ -139,18 +139,18 @@ def raw_hits(lists, table: str = "documents", key: str = "doc_id", text: str = "
     )
 
 
-def resolved_hits(lists) -> str:
-    """CTE ``h``: the hits of ``raw_hits`` in ``documents`` after the overlaps are settled one by one (earlier start,
-    then specific types, then shorter, then detector order)."""
+def resolved_hits(lists, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE ``h``: the hits of ``raw_hits`` after the overlaps are settled one by one (earlier start, then specific types,
+    then shorter, then detector order)."""
     return (
-        f"{raw_hits(lists)}, "
-        "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(value) - "
+        f"{raw_hits(lists, table, key, text)}, "
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, length(value) - "
         f"CASE WHEN placeholder IN {word_list(fixed.SPECIFIC_TYPES)} THEN 1000 ELSE 0 END, length(value), seq) AS i FROM raw), "
-        "walk AS (SELECT doc_id, i, detector, placeholder, start, value, start + length(value) AS reach, true AS taken FROM o WHERE i = 1 UNION ALL "
-        "SELECT o.doc_id, o.i, o.detector, o.placeholder, o.start, o.value, "
+        f"walk AS (SELECT {key}, i, detector, placeholder, start, value, start + length(value) AS reach, true AS taken FROM o WHERE i = 1 UNION ALL "
+        f"SELECT o.{key}, o.i, o.detector, o.placeholder, o.start, o.value, "
         "CASE WHEN o.start >= w.reach THEN o.start + length(o.value) ELSE w.reach END, "
-        "o.start >= w.reach FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1), "
-        "h AS (SELECT doc_id, detector, placeholder, start, value FROM walk WHERE taken)"
+        f"o.start >= w.reach FROM walk w JOIN o ON o.{key} = w.{key} AND o.i = w.i + 1), "
+        f"h AS (SELECT {key}, detector, placeholder, start, value FROM walk WHERE taken)"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.checks import luhn_ok
 from spanveil.functions.dialect import java_regex
 from spanveil.functions.fixed_values import CATALOGUE, FORMATS, SEED_WORDS
+from spanveil.functions.text import compute_once
 from spanveil.operators import audit, custom_join, evaluate, scope
 from spanveil.operators.detectors import detector_catalogue
 from spanveil.operators.dictionaries import Dictionaries, NameLists
@@ -116,25 +117,21 @@ def seed_phrases(spark, sf):
 # ------------------------------------------------------------------------------------------------ raw detection
 @register(
     "pii_counts_by_doc",
-    "SELECT doc_id, "
-    + ", ".join(
-        f"CAST(len(list_filter(regexp_extract_all(text, '{regex}', 1), lambda value: {rule})) AS BIGINT) AS n_{det}"
-        for det, _, regex, rule in sql.CORE
-        if det not in ("credit_card",)
-    )
-    + f", CAST(coalesce((SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '{sql.CARD_RE}', 1)) AS value) c "
-    f"WHERE {luhn_sql('value')}), 0) AS BIGINT) AS n_credit_card FROM documents",
+    f"WITH {sql.raw_hits(NameLists())} SELECT doc_id, "
+    + ", ".join(f"CAST(count(*) FILTER (detector = '{det}') AS BIGINT) AS n_{det}" for det, *_ in CATALOGUE)
+    + " FROM documents LEFT JOIN raw USING (doc_id) GROUP BY doc_id",
 )
 def pii_counts_by_doc(spark, sf):
-    """Raw hits per text and detector; a plain projection, no shuffle."""
-    rules = rules_for(CORE)
+    """Raw hits per text of every built-in detector; a plain projection, no shuffle. The text is searched once."""
+    rules = rules_for(None)
     df, _ = with_raw_spans(texts(spark, sf), "text", rules)
+    df = compute_once(df, seqs=F.transform(RAW, lambda s: s["seq"]))
+    place = {s.id: k for k, s in enumerate(rules.sources)}
 
     def count_of(det_id: str):
-        seq = next(i for i, s in enumerate(rules.sources) if s.id == det_id)
-        return F.size(F.filter(RAW, lambda s: s["seq"] == seq)).cast("bigint").alias(f"n_{det_id}")
+        return F.size(F.filter("seqs", lambda s: s == place[det_id])).cast("bigint").alias(f"n_{det_id}")
 
-    return df.select("doc_id", *[count_of(d) for d in CORE])
+    return df.select("doc_id", *[count_of(d) for d, *_ in CATALOGUE])
 
 
 @register(
@@ -295,14 +292,26 @@ def type_counts(spark, sf):
 
 
 @register("pii_profile_by_source", (
-    f"{sql.DOC_TAGS} SELECT d.source, t.placeholder, count(*) AS n_found FROM tags t JOIN documents d USING (doc_id) "
-    "GROUP BY ROLLUP (d.source, t.placeholder)"
+    f"{sql.DOC_TAGS} SELECT d.source, t.placeholder, count(*) AS n_found, GROUPING(d.source, t.placeholder) AS level "
+    "FROM tags t JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.source, t.placeholder)"
 ))
 def pii_profile_by_source(spark, sf):
     found = findings(documents(spark, sf).select("doc_id", "source", "text"), ["doc_id", "source"])
     return audit.profile(found, ["source"])
 
 
+@register("pii_rates_by_source", (
+    f"{sql.DOC_TAGS}, n AS (SELECT doc_id, count(*) AS n FROM tags GROUP BY doc_id) "
+    "SELECT lang, source, count(*) AS n_texts, count(n) AS n_with_findings, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_found, "
+    "GROUPING(lang, source) AS level, coalesce(sum(n), 0) / count(*) AS per_text "
+    "FROM documents LEFT JOIN n USING (doc_id) GROUP BY ROLLUP (lang, source)"
+))
+def pii_rates_by_source(spark, sf):
+    """Texts, texts with findings and findings per text, by language and source with subtotals."""
+    source = documents(spark, sf).select("doc_id", "lang", "source", "text")
+    return audit.rates(findings(source, ["doc_id", "lang", "source"]), source, ["doc_id"], ["lang", "source"])
+
+
 @register("top_sources", (
     f"{sql.DOC_TAGS} SELECT d.source, count(*) AS n_found FROM tags t JOIN documents d USING (doc_id) GROUP BY d.source "
     "ORDER BY n_found DESC, d.source LIMIT 10"
@@ -364,7 +373,7 @@ _CORPUS = (
 def scope_numbering(spark, sf):
     """Entities numbered per source; buckets of text ids keep every window small."""
     found = scope.entities_in_scope(_occurrences(spark, sf), "source", ["doc_id", "start"])
-    bounds = scope.position_bounds(table(spark, sf, "documents"), "doc_id", 64)
+    bounds = scope.position_bounds(table(spark, sf, "documents"), "doc_id")
     numbered = scope.number_entities(found, "source", bounds)
     return numbered.select(
         "source", "placeholder", "norm", F.col("n").cast("bigint"), "tag", "value", "occurrences"
@@ -377,7 +386,7 @@ def scope_numbering(spark, sf):
 )
 def corpus_numbering(spark, sf):
     found = scope.entities_in_scope(_occurrences(spark, sf), None, ["doc_id", "start"])
-    bounds = scope.position_bounds(table(spark, sf, "documents"), "doc_id", 64)
+    bounds = scope.position_bounds(table(spark, sf, "documents"), "doc_id")
     return scope.number_entities(found, None, bounds).select("placeholder", "norm", F.col("n").cast("bigint"), "tag")
 
 
@@ -388,7 +397,7 @@ def corpus_numbering(spark, sf):
 def scope_redaction(spark, sf):
     """Texts redacted with numbers that are consistent over their source."""
     found = _occurrences(spark, sf)
-    bounds = scope.position_bounds(found, "doc_id", 64)
+    bounds = scope.position_bounds(found, "doc_id")
     numbered = scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source", bounds)
     done = scope.redact_in_scope(
         documents(spark, sf).select("doc_id", "source", "text"), found, numbered, "doc_id", "source"
@@ -405,7 +414,7 @@ def scope_redaction(spark, sf):
 def scope_restore(spark, sf):
     """Texts redacted over their source and restored from the source's vault."""
     found = _occurrences(spark, sf)
-    bounds = scope.position_bounds(found, "doc_id", 64)
+    bounds = scope.position_bounds(found, "doc_id")
     numbered = kept(
         scope.number_entities(scope.entities_in_scope(found, "source", ["doc_id", "start"]), "source", bounds)
     )
@@ -416,24 +425,30 @@ def scope_restore(spark, sf):
 
 
 _TURN = (
-    "'reply to ' || role || cast(conv_id % 7 as string) || '@example.com or +1 555-' || "
+    "coalesce(text, '') || ' reply to ' || role || cast(conv_id % 7 as string) || '@example.com or +1 555-' || "
     f"{digits('conv_id % 3 + turn % 2', 3)} || '-4567 .'"
 )
+_TURN_HITS = (
+    f"WITH RECURSIVE c AS (SELECT conv_id * 100000 + turn AS cid, conv_id, turn, {_TURN} AS text FROM conversations), "
+    f"hits AS (WITH RECURSIVE {sql.resolved_hits(NameLists(), 'c', 'cid')} SELECT h.*, c.conv_id, c.turn, c.turn * 10000000 + h.start AS pos "
+    "FROM h JOIN c USING (cid)), h AS (SELECT * FROM hits)"
+)
+
+
+def conversation_turns(df: DataFrame) -> DataFrame:
+    """Turns of a table or stream with a sentence behind each real text, so that every turn holds something to number."""
+    return df.selectExpr("conv_id", "turn", f"{_TURN} AS text")
 
 
 @register("conversation_scope", (
-    f"WITH s AS (SELECT conv_id, turn, role || cast(conv_id % 7 as string) || '@example.com' AS e, '+1 555-' || {digits('conv_id % 3 + turn % 2', 3)} || '-4567' AS p "
-    "FROM conversations), h AS (SELECT conv_id, turn, 'EMAIL' AS placeholder, e AS value, turn * 1000 + 9 AS pos FROM s "
-    "UNION ALL SELECT conv_id, turn, 'PHONE_NUMBER', p, turn * 1000 + 500 FROM s), "
-    f"{sql.tagged('conv_id', 'pos')}, t AS (SELECT conv_id, turn, max(CASE WHEN placeholder = 'EMAIL' THEN tag END) AS e, "
-    "max(CASE WHEN placeholder <> 'EMAIL' THEN tag END) AS p FROM tags GROUP BY conv_id, turn) "
-    "SELECT conv_id, turn, 'reply to ' || e || ' or ' || p || ' .' AS anonymized FROM t"
+    f"{_TURN_HITS}, {sql.tagged('conv_id', 'pos')}, {sql.rendered('cid', 'c')} "
+    "SELECT conv_id, turn, anonymized FROM red JOIN c USING (cid)"
 ))
 def conversation_scope(spark, sf):
     """Turns of a conversation share their numbering."""
-    turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id").selectExpr("conv_id", "turn", f"{_TURN} AS text")
-    found = kept(findings(turns, ["conv_id", "turn"], detectors=["email", "phone_intl"]))
-    bounds = scope.position_bounds(found, "turn", 64)
+    turns = conversation_turns(read_table(spark, f"{sf}/conversations.parquet", "conv_id"))
+    found = kept(findings(turns, ["conv_id", "turn"]))
+    bounds = scope.position_bounds(found, "turn")
     numbered = scope.number_entities(scope.entities_in_scope(found, "conv_id", ["turn", "start"]), "conv_id", bounds)
     done = scope.redact_in_scope(turns, found, numbered, ["conv_id", "turn"], "conv_id")
     return done.select("conv_id", "turn", "anonymized")
@@ -599,10 +614,10 @@ def eval_issues(spark, sf):
 
 
 @register("eval_summary", (
-    "SELECT o_orderstatus AS category, o_orderpriority AS template, count(*) AS total, "
+    "SELECT o_orderstatus AS category, o_orderpriority AS template, count(*) AS total, GROUPING(o_orderstatus, o_orderpriority) AS level, "
     "CAST(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 4) THEN 1 ELSE 0 END) AS BIGINT) AS core_passed, "
     "CAST(sum(CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS strict_passed "
-    "FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"
+    "FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (o_orderpriority), ())"
 ))
 def eval_summary(spark, sf):
     return evaluate.summary(_evaluated(spark, sf), ["category", "template"])
@@ -648,7 +663,7 @@ def leak_checks(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ events over time
 _EVENT_TEXT = (
-    "CASE WHEN event_id % 3 = 0 THEN 'mail u' || cast(user_id as string) || '@example.com' "
+    "coalesce(props, '') || ' ' || CASE WHEN event_id % 3 = 0 THEN 'mail u' || cast(user_id as string) || '@example.com' "
     "WHEN event_id % 3 = 1 THEN 'host 10.0.0.' || cast(user_id % 200 as string) || ' up' ELSE 'nothing here' END"
 )
 _EVENT_HITS = (
@@ -660,7 +675,7 @@ def _event_findings(spark, sf) -> DataFrame:
     events = read_table(spark, f"{sf}/events.parquet", "event_id").selectExpr(
         "event_id", "ts", "user_id", f"{_EVENT_TEXT} AS text"
     )
-    return findings(events, ["event_id", "ts", "user_id"], detectors=["email", "ipv4"])
+    return findings(events, ["event_id", "ts", "user_id"])
 
 
 @register("windowed_pii", (

@@ -66,8 +66,9 @@ def config_names(spark, sf):
 
 
 @register("file_scan", (
-    f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), {sql.core_hits('l', 'doc_id', 'line')} "
-    "SELECT detector, count(*) AS n_found FROM h WHERE detector IN ('email', 'ipv4') GROUP BY detector "
+    "WITH s AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), "
+    f"l AS (SELECT row_number() OVER () AS lid, line FROM s), {sql.raw_hits(NameLists(), 'l', 'lid', 'line')} "
+    "SELECT detector, count(*) AS n_found FROM raw GROUP BY detector "
     "UNION ALL SELECT 'lines', count(*) FROM l"
 ))
 def file_scan(spark, sf):
@@ -75,7 +76,7 @@ def file_scan(spark, sf):
     folder = shared_folder(spark, "files")
     texts(spark, sf).select(F.coalesce("text", F.lit(""))).write.text(folder)
     lines = sources.read_texts(spark, folder, whole=False)
-    found = findings(lines, ["file"], detectors=["email", "ipv4"], raw=True).where(F.col("detector").isin("email", "ipv4"))
+    found = findings(lines, ["file"], raw=True)
     counts = found.groupBy("detector").agg(F.count(F.lit(1)).alias("n_found"))
     return counts.union(lines.select(F.lit("lines").alias("detector")).groupBy("detector").agg(F.count(F.lit(1)).alias("n_found")))
 
@@ -94,15 +95,15 @@ def _through(stream: DataFrame, folder: str) -> DataFrame:
 
 
 @register("stream_redaction", (
-    "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'mail [EMAIL]' WHEN 1 THEN 'host [IP_ADDRESS] up' ELSE 'nothing here' END AS anonymized, "
+    "SELECT event_id, coalesce(props, '') || ' ' || CASE event_id % 3 WHEN 0 THEN 'mail [EMAIL]' WHEN 1 THEN 'host [IP_ADDRESS] up' "
+    "ELSE 'nothing here' END AS anonymized, "
     "event_id % 3 = 2 AS clean FROM events"
 ))
 def stream_redaction(spark, sf):
     """Events redacted and gated as a stream, then read as a table: both lanes of the gate."""
     folder = shared_folder(spark, "stream")
     job = jobs.gate_stream(
-        _event_stream(spark, sf), "event_id", f"{folder}/clean", f"{folder}/quarantine", f"{folder}/vault", f"{folder}/progress",
-        detectors=["email", "ipv4"],
+        _event_stream(spark, sf), "event_id", f"{folder}/clean", f"{folder}/quarantine", f"{folder}/vault", f"{folder}/progress"
     )
     job.trigger(availableNow=True).start().awaitTermination()
     lanes = [
@@ -118,6 +119,6 @@ def stream_redaction(spark, sf):
 ))
 def stream_first_findings(spark, sf):
     """Each finding of a user once, deduplicated while streaming (the lateness covers the whole table)."""
-    found = findings(_event_stream(spark, sf), ["event_id", "ts", "user_id"], detectors=["email", "ipv4"])
+    found = findings(_event_stream(spark, sf), ["event_id", "ts", "user_id"])
     once = jobs.first_findings(found.withColumnRenamed("value", "found"), ["user_id", "placeholder", "found"], "ts", "4000 days")
     return _through(once.select("user_id", "placeholder", "found"), shared_folder(spark, "first"))

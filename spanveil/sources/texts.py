@@ -13,6 +13,9 @@ from spanveil.operators.dictionaries import Dictionaries
 from spanveil.operators.redact import anonymize
 
 
+FEW_SPLITS = 8
+
+
 def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """One row per file (``whole``) or per line, with the file it came from. ``path`` may be a directory or glob."""
     return spark.read.text(path, wholetext=whole).select(
@@ -21,13 +24,12 @@ def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A parquet table; a table in fewer splits than there are cores is spread by ``key`` so that text work is parallel.
-
-    Big tables have far more splits than cores and are read as they are, without a shuffle.
+    """A parquet table; one of very few splits (``FEW_SPLITS``, so about 1 GB at most, whatever the cluster) is spread by
+    ``key`` so that text work is parallel. All others are read as they are, without a shuffle.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if key is not None and df.rdd.getNumPartitions() < cores:
+    if key is not None and df.rdd.getNumPartitions() < min(cores, FEW_SPLITS):
         return df.repartition(cores, key)
     return df
 

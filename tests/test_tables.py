@@ -134,7 +134,7 @@ def test_evaluation(spark):
         assert [n.kind for n in rows[i].notes] == kinds, i
         assert rows[i].strict_pass == (not kinds)
         assert rows[i].core_pass == (not kinds or kinds[0] in ("overcapture", "taxonomy_mismatch"))
-    total = evaluate.summary(done, ["category", "template"]).where("category IS NULL").first()
+    total = evaluate.summary(done, ["category", "template"]).where("level = 3").first()
     assert (total.total, total.core_passed, total.strict_passed) == (9, 5, 2)
     assert [r.case_id for r in evaluate.failures(done, "case_id", 3).collect()] == [2, 3, 4]
 
