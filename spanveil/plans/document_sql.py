@@ -49,7 +49,7 @@ NORM = (
 )
 
 
-def tagged(scope: str, order: str = "start") -> str:
+def tagged(scope: str, order: str = "start", always_numbered: bool = False) -> str:
     """CTEs over ``h`` giving ``tags``: hits with first position, number and tag within the scope."""
     by = f"{scope}, placeholder" if scope else "placeholder"
     return (
@@ -57,7 +57,7 @@ def tagged(scope: str, order: str = "start") -> str:
         f"hf AS (SELECT *, min({order}) OVER (PARTITION BY {by}, norm) AS first FROM hn), "
         f"hr AS (SELECT *, dense_rank() OVER (PARTITION BY {by} ORDER BY first) AS n FROM hf), "
         f"hm AS (SELECT *, max(n) OVER (PARTITION BY {by}) AS most FROM hr), "
-        "tags AS (SELECT *, CASE WHEN most = 1 THEN '[' || placeholder || ']' "
+        f"tags AS (SELECT *, CASE WHEN most = 1 AND {not always_numbered} THEN '[' || placeholder || ']' "
         "ELSE '[' || placeholder || '_' || n || ']' END AS tag FROM hm)"
     )
 

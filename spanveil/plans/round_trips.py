@@ -16,9 +16,9 @@ from spanveil.operators.redact import anonymize, findings
 from spanveil.operators.restore import restore_from_vault
 from spanveil.operators.skew import shared_folder
 from spanveil.plans import document_sql as sql
-from spanveil.plans.queries import _EVENT_HITS, _EVENT_TEXT, _NAME_TEXT, register, table, texts
+from spanveil.plans.queries import _EVENT_HITS, _EVENT_TEXT, _NAME_TEXT, _TURN_HITS, conversation_turns, register, table, texts
 from spanveil.sources import texts as sources
-from spanveil.streaming import jobs
+from spanveil.streaming import jobs, numbering
 
 
 @register("sinks_read_back", (
@@ -122,3 +122,24 @@ def stream_first_findings(spark, sf):
     found = findings(_event_stream(spark, sf), ["event_id", "ts", "user_id"])
     once = jobs.first_findings(found.withColumnRenamed("value", "found"), ["user_id", "placeholder", "found"], "ts", "4000 days")
     return _through(once.select("user_id", "placeholder", "found"), shared_folder(spark, "first"))
+
+
+@register("stream_scope_numbering", (
+    f"{_TURN_HITS}, {sql.tagged('conv_id', 'pos', always_numbered=True)}, {sql.rendered('cid', 'c')} "
+    "SELECT conv_id, turn, anonymized, n AS n_found FROM red JOIN c USING (cid)"
+))
+def stream_scope_numbering(spark, sf):
+    """Turns of a conversation share their numbering, handed out by keyed state while the turns stream in."""
+    schema = table(spark, sf, "conversations").schema
+    stream = conversation_turns(spark.readStream.schema(schema).parquet(f"{sf}/conversation[s].parquet"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, numbering.PROVIDER)
+    try:
+        done = _through(
+            numbering.redact_scope_stream(stream, "conv_id", "turn", ["conv_id", "turn"]), shared_folder(spark, "numbers")
+        )
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    found = F.size(F.regexp_extract_all("anonymized", F.lit(r"\[[A-Z_]+_[0-9]+\]"), F.lit(0)))
+    return done.select("conv_id", "turn", "anonymized", found.cast("bigint").alias("n_found"))
