@@ -11,7 +11,7 @@ from spanveil.functions.checks import luhn_ok
 from spanveil.functions.dialect import java_regex
 from spanveil.functions.fixed_values import CATALOGUE, FORMATS, SEED_WORDS
 from spanveil.functions.text import compute_once
-from spanveil.operators import audit, custom_join, evaluate, scope
+from spanveil.operators import audit, custom_join, evaluate, scope, sweep
 from spanveil.operators.detectors import detector_catalogue
 from spanveil.operators.dictionaries import Dictionaries, NameLists
 from spanveil.operators.redact import anonymize, findings
@@ -639,6 +639,21 @@ def eval_failure_sample(spark, sf):
     return evaluate.failures(_evaluated(spark, sf), "case_id").select("case_id")
 
 
+_SWEEP_ROWS = ", ".join(
+    f"('{category}', '{name}')" for category, names in (("positive", sweep.TEMPLATES), ("negative", sweep.NEGATIVES)) for name in names
+)
+
+
+@register("sweep_summary", (
+    f"WITH t AS (SELECT * FROM (VALUES {_SWEEP_ROWS}) v(category, template), customer) "
+    "SELECT category, template, count(*) AS total, count(*) AS core_passed, count(*) AS strict_passed, "
+    "GROUPING(category, template) AS level, true AS reached FROM t GROUP BY GROUPING SETS ((category, template), (category))"
+))
+def sweep_summary(spark, sf):
+    """A profile for every customer in every template, and negatives: all values found, nothing else, all texts restored."""
+    return sweep.sweep_summary(sweep.profiles(table(spark, sf, "customer"), "c_custkey"), {"positive": 0.9933, "negative": 0.9333})
+
+
 @register("leak_checks", (
     "SELECT o_orderkey AS case_id, o_orderkey % 4 IN (0) AS ok, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'count' "
     "WHEN 2 THEN 'leaked order' ELSE 'missing SSN,unexpected EMAIL' END AS failed FROM orders"
