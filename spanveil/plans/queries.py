@@ -20,6 +20,7 @@ from spanveil.operators.skew import kept
 from spanveil.operators.spans import RAW, rules_for, with_raw_spans
 from spanveil.plans import document_sql as sql
 from spanveil.plans.sentences import SENTENCE_SETS, digits, luhn_sql
+from spanveil.sources.json_values import anonymize_json
 from spanveil.sources.texts import anonymize_columns, read_table
 from spanveil.streaming import jobs
 
@@ -693,6 +694,22 @@ def _event_findings(spark, sf) -> DataFrame:
     return findings(events, ["event_id", "ts", "user_id"])
 
 
+_EVENT_JSON = (
+    """'{"who": {"mail": "u' || cast(user_id as string) || '@example.com", "seen at": ["10.0.0.' || cast(user_id % 200 as string) """
+    """|| '", "up"]}, "card": 4111111111111111, "props": ' || coalesce(props, 'null') || '}'"""
+)
+
+
+@register("props_redacted", (
+    """SELECT event_id, '{"who": {"mail": "[EMAIL]", "seen at": ["[IP_ADDRESS]", "up"]}, "card": "[CREDIT_CARD]", "props": ' """
+    """|| coalesce(props, 'null') || '}' AS props, CAST(3 AS BIGINT) AS n_found FROM events"""
+))
+def props_redacted(spark, sf):
+    """The values of a JSON column redacted, its structure and keys kept."""
+    events = read_table(spark, f"{sf}/events.parquet", "event_id").selectExpr("event_id", f"{_EVENT_JSON} AS props")
+    return longs(anonymize_json(events, "props").select("event_id", "props", F.col("count").alias("n_found")), "n_found")
+
+
 @register("windowed_pii", (
     f"WITH {_EVENT_HITS} SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, "
     "placeholder, count(*) AS n_found FROM e GROUP BY ALL"

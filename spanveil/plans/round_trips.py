@@ -17,6 +17,7 @@ from spanveil.operators.restore import restore_from_vault
 from spanveil.operators.skew import shared_folder
 from spanveil.plans import document_sql as sql
 from spanveil.plans.queries import _EVENT_HITS, _EVENT_TEXT, _NAME_TEXT, _TURN_HITS, conversation_turns, register, table, texts
+from spanveil.sources import large_files
 from spanveil.sources import texts as sources
 from spanveil.streaming import jobs, numbering
 
@@ -143,3 +144,25 @@ def stream_scope_numbering(spark, sf):
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     found = F.size(F.regexp_extract_all("anonymized", F.lit(r"\[[A-Z_]+_[0-9]+\]"), F.lit(0)))
     return done.select("conv_id", "turn", "anonymized", found.cast("bigint").alias("n_found"))
+
+
+FILE_TEXTS = 100
+
+
+@register("large_file_findings", (
+    f"WITH b AS (SELECT doc_id // {FILE_TEXTS} AS bucket, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1), "
+    f"{sql.raw_hits(NameLists(), 'b', 'bucket', 'body')} "
+    "SELECT bucket, detector, start, value, 1 + length(substr(body, 1, start)) - length(replace(substr(body, 1, start), chr(10), '')) AS line "
+    "FROM raw JOIN b USING (bucket)"
+))
+def large_file_findings(spark, sf):
+    """The corpus as text files of many documents each, searched in overlapping chunks: places and lines in the whole file."""
+    folder = shared_folder(spark, "large")
+    lines = texts(spark, sf).select(F.floor(F.col("doc_id") / FILE_TEXTS).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    ordered = lines.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    ordered.select("bucket", "value").write.partitionBy("bucket").text(folder)
+    found = large_files.file_findings(spark, f"{folder}/bucket=*/*.txt", raw=True)
+    return found.select(
+        F.regexp_extract("file", r"bucket=(-?[0-9]+)/", 1).cast("bigint").alias("bucket"), "detector", F.col("start").cast("bigint").alias("start"),
+        "value", F.col("line").cast("bigint").alias("line"),
+    )
