@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
-The rule table is built from a list of licenses (label, keyword, name, versions, address) and a few sentence forms: some
-hundreds of regular expressions. A rule runs on a text only if the text can match it: it has all words of one of the rule's
+The rule table is built from a list of licenses (label, keyword, name, versions, address) and a few sentence forms, some
+hundreds of regular expressions, and of signatures of license bodies and file headers (``BODIES``). A rule runs on a text only if the text can match it: it has all words of one of the rule's
 keywords (a plain byte search; for an address, its longest fixed part) and, for a name, the bare name. Matches are resolved in the order of priority, then length, then
 place: a match inside the interval of one that was kept is suppressed, so "general public license" inside a "lesser
 general public license" or inside a full grant sentence doesn't count by itself.
@@ -9,7 +9,9 @@ general public license" or inside a full grant sentence doesn't count by itself.
 Besides the rules there is a plain phrase search over words (``PHRASES``): places where the phrase's words follow each
 other, whatever stands between them.
 
-Texts are searched whole, as lower-case UTF-8 (A-Z only, so offsets hold); every expression has bounded gaps.
+Texts are searched whole, as lower-case UTF-8 (A-Z only, so offsets hold). Between words any run of white space and comment
+marks may stand; no word begins with these, so a search can't backtrack over them. Of a declared identifier only the
+identifier is the match, so every term of an expression (``MIT OR Apache-2.0``) has its own label.
 Nulls and ties: null and empty texts give no words, places or labels and score 0; several licenses give several labels;
 matches with equal priority, length and place go to the earlier rule. An empty table gives no rows. Only the id and the
 text are read.
@@ -93,7 +95,27 @@ cc-by-nd | creative | creative commons attribution[- ]no ?deriv[a-z]{0,8} | 2.0
 public-domain | public domain | (?:in|into|to) the public domain | | creativecommons\.org/publicdomain/mark
 proprietary | rights reserved | all rights reserved | | \bproprietary and confidential\b
 """
+#: label | keyword | what the license's own text or its file header says
+BODIES = r"""
+mit | hereby granted | permission is hereby granted,? free of charge,? to any person obtaining a copy of this software
+bsl-1.0 | accompanying documentation | permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software and accompanying documentation
+isc | hereby granted | permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
+bsd | redistribution and use | redistribution and use in source and binary forms,? with or without modification,? are permitted
+bsd-3-clause | endorse or promote | may be used to endorse or promote products derived from this software without (?:specific )?prior written permission
+bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display
+apache | except in compliance | you may not use this (?:file|work|software) except in compliance with the license
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+zlib | misrepresented | the origin of this software must not be misrepresented
+mpl | source code form | this source code form is subject to the terms of the mozilla public license
+"""
+#: headers that name a version after the publisher: label | name
+PUBLISHED = r"""
+gpl | gnu general public license
+lgpl | gnu (?:lesser|library) general public license
+agpl | gnu affero general public license
+"""
 GRANT = r"(?:is |are |be )?(?:licensed|released|distributed|published|available|provided|redistributed|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+TERMS = r"\(*(?:[0-9a-z.+-]+\)* (?:or|and|with) \(*)*"  # the terms before one of a declared expression
 VERSION = r",? ?(?:\(?(?:version|ver\.?|v\.?)? ?)"
 
 
@@ -107,7 +129,8 @@ class Rule:
 
 def spaced(regex: str) -> re.Pattern:
     """A space stands for whitespace and comment marks."""
-    return re.compile(re.sub(r" (?!\?)(?![^\[]*\])", r"[\\s*#/]{1,8}", regex).encode())
+    out = re.sub(r" \?(?![^\[]*\])", r"[\\s*#/]*", regex)
+    return re.compile(re.sub(r" (?![^\[]*\])", r"[\\s*#/]+", out).encode())
 
 
 def fixed_part(regex: str) -> str:
@@ -118,8 +141,8 @@ def fixed_part(regex: str) -> str:
 
 def rules() -> list[Rule]:
     """From the list: for each name a declared identifier, a grant sentence, a bare mention and an address; the first
-    three once more for each version. Priority: 100 identifier, 90 / 80 grant with / without version, 70 address, 60 /
-    50 mention."""
+    three once more for each version; then the bodies and headers. Priority: 100 identifier, 95 header with a version, 90 /
+    80 grant with / without version, 85 body, 70 address, 60 / 50 mention."""
     made: list[Rule] = []
 
     def add(label, keyword, regex, priority, score, needs=None):
@@ -127,16 +150,26 @@ def rules() -> list[Rule]:
 
     for line in LICENSES.strip().splitlines():
         label, keyword, name, versions, address = _fields(line)
-        name = rf"(?<![0-9a-z]){name}(?![0-9a-z])"
+        name, whole = rf"(?<![0-9a-z]){name}", rf"(?<![0-9a-z]){name}(?![0-9a-z])"
         bare = spaced(name)
         for version in [*versions.split(), ""]:
             own = f"{label}-{version if '.' in version else version + '.0'}" if version else label
             number = re.escape(version.removesuffix(".0")) + r"(?:\.0)?" if version.endswith(".0") else re.escape(version) + ("" if "." in version else r"(?:\.0)?")
             tail = VERSION + number + r"(?![0-9.]*[0-9])" if version else ""
-            add(own, "spdx", rf"spdx-license-identifier: ?\(?{re.escape(own.removesuffix('.0') if label == 'x11' else own)}(?:-only|-or-later|\+)?(?![0-9a-z.-])", 100, 1.0)
-            add(own, keyword, GRANT + name + tail, 90 if version else 80, 0.95 if version else 0.9, bare)
-            add(own, keyword, name + tail, 60 if version else 50, 0.8 if version else 0.6, bare)
+            add(own, "spdx", rf"spdx-license-identifier: ?{TERMS}({re.escape(own)}(?:-only|-or-later|\+)?)(?![0-9a-z.-])", 100, 1.0)
+            said = name + tail if version else whole
+            add(own, keyword, GRANT + said, 90 if version else 80, 0.95 if version else 0.9, bare)
+            add(own, keyword, said, 60 if version else 50, 0.8 if version else 0.6, bare)
         add(label, fixed_part(address), address, 70, 0.85)
+    for line in BODIES.strip().splitlines():
+        label, keyword, body = _fields(line)
+        add(label, keyword, body, 85, 0.95)
+    for line in PUBLISHED.strip().splitlines():
+        label, name = _fields(line)
+        for version in ("1", "2", "2.1", "3"):
+            number = re.escape(version) + ("" if "." in version else r"(?:\.0)?")
+            body = rf"{name},? as published by the free software foundation[;,]? (?:either )?version {number}(?![0-9.]*[0-9])"
+            add(f"{label}-{version if '.' in version else version + '.0'}", "free software foundation", body, 95, 0.95)
     return made
 
 
@@ -158,7 +191,7 @@ def detections(text: bytes, table: list[Rule]) -> list[tuple[int, int, Rule]]:
     has = {k: any(all(w in text for w in option.split()) for option in k.split(b",")) for k in {r.keyword for r in table}}
     able = [r for r in table if has[r.keyword]]
     named = {n: n.search(text) is not None for n in {r.needs for r in able} if n}
-    found = [(m.start(), m.end(), r) for r in able if named.get(r.needs, True) for m in r.regex.finditer(text)]
+    found = [(*m.span(r.regex.groups), r) for r in able if named.get(r.needs, True) for m in r.regex.finditer(text)]
     found.sort(key=lambda f: (-f[2].priority, f[0] - f[1], f[0], f[2].order))
     kept: list[tuple[int, int, Rule]] = []
     starts: list[int] = []

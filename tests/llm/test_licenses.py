@@ -24,6 +24,15 @@ RULES = lic.rules()
         ("BSD 3-Clause License and the ISC License", ["bsd-3-clause", "isc"]),
         ("All rights reserved.", ["proprietary"]),
         ("a summit licence to commit the license", []),
+        ("Apache License,\n" + " " * 12 + "Version 2.0", ["apache-2.0"]),
+        ("apache\n" + " " * 15 + "license", ["apache"]),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and", ["mit"]),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", ["bsd"]),
+        ("under the GPLv3", ["gpl-3.0"]),
+        ("the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2 of", ["gpl-2.0"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["apache-2.0", "mit"]),
+        ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause", ["bsd-3-clause", "gpl-2.0"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", ["isc"]),
         ("Mozilla Public License 2.0; Eclipse Public License 1.0", ["epl-1.0", "mpl-2.0"]),
     ],
 )
@@ -74,7 +83,8 @@ def test_every_rule_fires_on_a_text_made_from_it_alone(rule):
         m = rule.regex.search(text)
         if m:  # look-around can refuse a sample
             seen += 1
-            assert any(a <= m.start() and m.end() <= b for a, b, _ in lic.detections(text, RULES)), text
+            start, end = m.span(rule.regex.groups)  # of a declared identifier the identifier itself
+            assert any(a <= start and end <= b for a, b, _ in lic.detections(text, RULES)), text
     assert seen
 
 
