@@ -2,7 +2,9 @@
 
 Base formats: assignments to password-like names, access keys, long hexadecimal runs. Beyond them, every long token of
 the text is scored: two first-order Markov models over characters, one of random strings and one of ordinary
-identifiers, give a log-likelihood ratio per transition, and tokens above a threshold are reported.
+identifiers, give a log-likelihood ratio per transition. A token of 12 characters or more is reported if both the mean
+(``least_ratio``) and the sum (``least_evidence``, so short tokens must be the clearer ones) are large enough. Words may stand
+in capitals, so the lesser ratio of a token and its lower-case form counts.
 
 Training: labelled samples of both kinds come from the corpus. Random: digests of documents of the sample, written as
 base64 and as hexadecimal, and the values of base secrets found in it. Ordinary: the words and identifiers that two
@@ -30,11 +32,13 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN = r"[A-Za-z0-9+/_-]{12,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 STATES = len(ALPHABET) + 1  # state 0: any other character
 SAMPLE_DOCS = 2000
-LEAST_RATIO = 3.0  # nats per transition
+LEAST_RATIO = 0.7  # nats per transition
+LEAST_EVIDENCE = 14.0  # nats over the whole token
+LEAST_CHARACTERS = 6  # different ones
 BACK_OFF = 5.0
 
 
@@ -125,6 +129,7 @@ def secret_spans(
     text_column: str = "text",
     least_ratio: float = LEAST_RATIO,
     sample_docs: int = SAMPLE_DOCS,
+    least_evidence: float = LEAST_EVIDENCE,
 ) -> DataFrame:
     """id, assign, access, hex (spans of the base formats) and markov (spans of random tokens outside of them)."""
     values = log_ratios(*labelled_tokens(docs, text_column, sample_docs))
@@ -133,8 +138,17 @@ def secret_spans(
     found = compute_once(narrow, **base_spans(F.col("text")), tokens=match_spans(F.col("text"), TOKEN))
     base = F.concat(*KINDS)
     apart = F.filter("tokens", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    apart = F.filter(apart, lambda t: t["value"].rlike("[A-Za-z]"))  # a number alone is no random string
-    return found.select("id", *KINDS, F.filter(apart, lambda t: ratio(t["value"], ratios) >= least_ratio).alias("markov"))
+    # A number alone is no random string, nor is one of few different characters (12 random letters have 10 on average).
+    apart = F.filter(
+        apart, lambda t: t["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(t["value"], ""))) >= LEAST_CHARACTERS)
+    )
+
+    def random(span: Column) -> Column:
+        own = ratio(span["value"], ratios)
+        any_case = F.when(span["value"].rlike("[a-z]"), own).otherwise(F.least(own, ratio(F.lower(span["value"]), ratios)))
+        return let(any_case, lambda r: (r >= least_ratio) & (r * (F.length(span["value"]) - 1) >= least_evidence))
+
+    return found.select("id", *KINDS, F.filter(apart, random).alias("markov"))
 
 
 def digest_columns(spans: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import base64
 import hashlib
 import json
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -43,15 +45,15 @@ def test_base_formats_and_random_tokens(spark):
 
 
 def test_model_equals_a_plain_one(spark):
-    random, plain = ["aZ9+", "q7Q", "a"], ["hello", "hell_o", "oh"]
+    rand, plain = ["aZ9+", "q7Q", "a"], ["hello", "hell_o", "oh"]
     frame = lambda words: spark.createDataFrame([(w,) for w in words], "token string")
-    got = sx.log_ratios(frame(random), frame(plain))
+    got = sx.log_ratios(frame(rand), frame(plain))
 
     def code(c):
         return sx.ALPHABET.find(c) + 1
 
     tables = []
-    for words in (random, plain):
+    for words in (rand, plain):
         pairs = [(code(a), code(b)) for w in words for a, b in zip(w, w[1:])]
         single = [(sum(y == b for _, y in pairs) + 1) / (len(pairs) + sx.STATES) for b in range(sx.STATES)]
         tables.append([
@@ -78,6 +80,26 @@ def test_held_out_tokens_are_told_apart(spark):
     assert sum((r.r >= sx.LEAST_RATIO) == bool(r.label) for r in rows) >= 390
 
 
+def test_random_tokens_of_several_alphabets_and_lengths(spark):
+    """Bare tokens in running text: 16 and 30 characters, letters of one case, digits among them, both cases."""
+    alphabets = {
+        "base62": string.ascii_letters + string.digits, "low": string.ascii_lowercase, "lowdig": string.ascii_lowercase + string.digits,
+        "updig": string.ascii_uppercase + string.digits,
+    }
+    rng, pairs, want = random.Random(6), [(k, prose(k, 60)) for k in range(300)], {}
+    for name, letters in alphabets.items():
+        for n in (16, 30):
+            for k in range(40):
+                token, doc = "".join(rng.choice(letters) for _ in range(n)), 1000 + len(want)
+                pairs.append((doc, f"{prose(doc, 5)} {token} {prose(doc + 1, 5)}"))
+                want[doc] = (name, n, f"markov:{pairs[-1][1].index(token)}:{pairs[-1][1].index(token) + n}")
+    pairs += [(5000 + k, prose(k, 40).upper()) for k in range(60)]
+    found = {r.doc_id: r.spans for r in sx.digest_columns(sx.secret_spans(table(spark, pairs))).collect() if "markov" in r.spans}
+    caught = Counter((want[d][0], want[d][1]) for d in want if want[d][2] in found.get(d, "").split(","))
+    assert all(caught[a, 30] >= 38 and caught[a, 16] >= 34 for a in alphabets), caught
+    assert not set(found) - set(want)
+
+
 def test_empty_and_native(spark):
     assert sx.secret_spans(table(spark, [])).count() == 0
     plan = sx.secret_spans(table(spark, [(1, "a@b.c")]))._jdf.queryExecution().toString()
