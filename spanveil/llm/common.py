@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.operators.skew import kept, shared_folder
 
-__all__ = ["WORD", "column", "kept", "packed", "read_table", "shared_folder", "text_of", "unpacked", "words_of"]
+__all__ = ["WORD", "column", "kept", "packed", "read_table", "shared_folder", "shuffles_freed", "text_of", "unpacked", "words_of"]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z: letters, digits and everything beyond ASCII
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -42,3 +43,19 @@ def words_of(text: str | None) -> list[str]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within it, Spark deletes the shuffle files of a job when the job ends. For chains of jobs that each end in a kept
+    table: their shuffles are not read again, but otherwise stay on disk until the driver's next full collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
