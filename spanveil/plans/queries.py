@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.functions.checks import luhn_ok
+from spanveil.functions.checks import luhn_ok, normal_value
 from spanveil.functions.dialect import java_regex
 from spanveil.functions.fixed_values import CATALOGUE, FORMATS, SEED_WORDS
 from spanveil.functions.text import compute_once
-from spanveil.operators import audit, custom_join, evaluate, scope, sweep
+from spanveil.operators import audit, custom_join, evaluate, scope, sketches, sweep
 from spanveil.operators.detectors import detector_catalogue
 from spanveil.operators.dictionaries import Dictionaries, NameLists
 from spanveil.operators.redact import anonymize, findings
 from spanveil.operators.restore import deanonymize, restore_from_scope_vault, restore_from_vault
-from spanveil.operators.skew import kept
+from spanveil.operators.skew import kept, null_safe_join
 from spanveil.operators.spans import RAW, rules_for, with_raw_spans
 from spanveil.plans import document_sql as sql
 from spanveil.plans.sentences import SENTENCE_SETS, digits, luhn_sql
@@ -322,6 +322,25 @@ def top_sources(spark, sf):
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_found")).orderBy(F.desc("n_found"), "source").limit(10)
 
 
+@register("distinct_entities", (
+    f"{sql.DOC_TAGS} SELECT d.source, t.placeholder, count(DISTINCT t.norm) AS n_distinct, true AS estimate_close "
+    "FROM tags t JOIN documents d USING (doc_id) GROUP BY d.source, t.placeholder"
+))
+def distinct_entities(spark, sf):
+    """Different entities by source and type, and whether sketches made by language and source, then united, come within
+    3 % of the exact count."""
+    found = findings(documents(spark, sf).select("lang", "source", "text"), ["lang", "source"])
+    found = kept(found.select("lang", "source", "placeholder", "value"))
+    norm = normal_value(F.col("value"), F.col("placeholder"))
+    exact = found.groupBy("source", "placeholder").agg(F.count_distinct(norm).alias("n_distinct"))
+    by_both = sketches.entity_sketches(found, ["lang", "source"])
+    close = sketches.distinct_counts(sketches.united(by_both, ["source"])).withColumnRenamed("n_distinct", "estimate")
+    return null_safe_join(exact, close, ["source", "placeholder"]).select(
+        "source", "placeholder", "n_distinct",
+        (F.abs(F.col("estimate") - F.col("n_distinct")) <= 0.03 * F.col("n_distinct")).alias("estimate_close"),
+    )
+
+
 _SEVERITY = (
     f"{sql.DOC_TAGS}, v AS (SELECT doc_id, CASE WHEN bool_or(placeholder IN ('SSN', 'CREDIT_CARD', 'BANK_ACCOUNT', "
     "'ROUTING_NUMBER', 'ACCESS_TOKEN')) THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM tags GROUP BY doc_id)"
