@@ -20,6 +20,7 @@ from spanveil.operators.redact import anonymize
 TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+|-?[0-9][0-9.eE+-]*+'  # strings (keys with their colon) and numbers
 APART = "\n" + "\x1e" * 240 + "\n"  # wider than any detector looks
 TOKENS, GAPS, LEAVES, RAW_TEXT = "__veil_tokens", "__veil_gaps", "__veil_leaves", "__veil_joined"
+OTHERS = "__veil_others"  # the other columns, so that none clashes with those of a redaction
 
 
 def _is_leaf(token: Column) -> Column:
@@ -51,9 +52,9 @@ def anonymize_json(df: DataFrame, json_col: str, **options) -> DataFrame:
     text = F.col(f"`{json_col}`")
     valid = F.try_parse_json(text).isNotNull()
     made = ["entity_map", "count", "detected_types", "entities"]
-    others = [c for c in df.columns if c not in (json_col, *made)]
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (json_col, *made)]
     cut = df.select(
-        *[F.col(f"`{c}`") for c in others], text.alias("__veil_json"),
+        F.struct(F.lit(0).alias("__veil"), *others).alias(OTHERS), text.alias("__veil_json"),
         F.when(valid, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias(TOKENS),
         F.when(valid, F.split(text, TOKEN, -1)).alias(GAPS),
     )
@@ -70,5 +71,5 @@ def anonymize_json(df: DataFrame, json_col: str, **options) -> DataFrame:
         .when(F.col(TOKENS).isNull(), F.col("anonymized"))
         .otherwise(back)
     )
-    columns = [redacted.alias(c) if c == json_col else F.col(f"`{c}`") for c in df.columns if c not in made]
+    columns = [redacted.alias(c) if c == json_col else F.col(OTHERS)[c].alias(c) for c in df.columns if c not in made]
     return done.select(*columns, *made)
