@@ -21,6 +21,7 @@ from spanveil.operators.spans import RAW, rules_for, with_raw_spans
 from spanveil.plans import document_sql as sql
 from spanveil.plans.sentences import SENTENCE_SETS, digits, luhn_sql
 from spanveil.sources.json_values import anonymize_json
+from spanveil.sources.nested_values import anonymize_nested
 from spanveil.sources.texts import anonymize_columns, read_table
 from spanveil.streaming import jobs
 
@@ -729,6 +730,25 @@ def props_redacted(spark, sf):
     return longs(anonymize_json(events, "props").select("event_id", "props", F.col("count").alias("n_found")), "n_found")
 
 
+@register("nested_redacted", (
+    "SELECT event_id, '[EMAIL]' AS mail, '[IP_ADDRESS]|up' AS seen, '[CREDIT_CARD]' AS card, props, event_id AS n, "
+    "CAST(3 AS BIGINT) AS n_found FROM events"
+))
+def nested_redacted(spark, sf):
+    """The strings of a nested column redacted in place, at every depth, all else kept."""
+    events = read_table(spark, f"{sf}/events.parquet", "event_id").selectExpr(
+        "event_id",
+        "named_struct('who', named_struct('mail', 'u' || user_id || '@example.com', 'seen', array('10.0.0.' || (user_id % 200), 'up')), "
+        "'more', map('card', '4111111111111111', 'props', props), 'n', event_id) AS event",
+    )
+    event = F.col("event")
+    return longs(anonymize_nested(events, "event").select(
+        "event_id", event["who"]["mail"].alias("mail"), F.array_join(event["who"]["seen"], "|").alias("seen"),
+        event["more"]["card"].alias("card"), event["more"]["props"].alias("props"), event["n"].alias("n"),
+        F.col("count").alias("n_found"),
+    ), "n_found")
+
+
 @register("windowed_pii", (
     f"WITH {_EVENT_HITS} SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, "
     "placeholder, count(*) AS n_found FROM e GROUP BY ALL"
