@@ -117,8 +117,11 @@ def slice_text(chunks: Column, start: Column, length: Column) -> Column:
 class TextView:
     """A text column with the derived columns the detectors read."""
 
-    def __init__(self, text: Column, lower: Column, chunks: Column, has_digit: Column, has_mark: Column):
+    def __init__(
+        self, text: Column, lower: Column, chunks: Column, has_digit: Column, has_mark: Column, apart: Column | None = None
+    ):
         self.text = text
+        self.apart = apart  # what stands between values that are searched as one text; surroundings end there
         self.has_mark = has_mark
         self.lower = lower
         self.chunks = chunks
@@ -129,11 +132,13 @@ class TextView:
 
     def before(self, start: Column, width: int) -> Column:
         """Up to ``width`` characters that end right before ``start``."""
-        return self.slice(F.greatest(start - width, F.lit(0)), F.least(start, F.lit(width)))
+        found = self.slice(F.greatest(start - width, F.lit(0)), F.least(start, F.lit(width)))
+        return found if self.apart is None else F.call_function("substring_index", found, self.apart, F.lit(-1))
 
     def after(self, end: Column, width: int) -> Column:
         """Up to ``width`` characters from ``end``."""
-        return self.slice(end, F.lit(width))
+        found = self.slice(end, F.lit(width))
+        return found if self.apart is None else F.call_function("substring_index", found, self.apart, F.lit(1))
 
     def mentions(self, *words: str) -> Column:
         """Cheap byte search: does the text hold one of ``words`` in any letter case?"""

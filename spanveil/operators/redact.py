@@ -153,10 +153,10 @@ def rendered(view: TextView, rules: RuleSet, tags: Column, multi: Column) -> Col
     )
 
 
-def _prepared(df, text_col, detectors, dictionaries, extra=None):
+def _prepared(df, text_col, detectors, dictionaries, extra=None, apart=False):
     before = df.columns
     df, dictionaries, extra = _with_joined_names(df, text_col, dictionaries, extra)
-    rules = rules_for(detectors, dictionaries)
+    rules = rules_for(detectors, dictionaries, apart)
     df, view = with_raw_spans(df, text_col, rules, extra)
     return with_entities(df, view, rules), view, rules, before
 
@@ -192,13 +192,15 @@ def anonymize(
     detectors: list[str] | None = None,
     dictionaries: Dictionaries | None = None,
     extra_spans: Column | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """Add ``anonymized``, ``entity_map``, ``count``, ``detected_types`` and ``entities`` to every row.
 
     Blank text gives an empty text, an empty map, 0 and an empty list. ``entities`` is the map as an array of
     ``struct<tag, type, value, first>`` in order of first appearance. The plan is a chain of narrow projections.
+    ``apart``: the texts hold several values (see ``sources/apart.py``), and no rule looks beyond its value.
     """
-    df, view, rules, before = _prepared(df, text_col, detectors, dictionaries, extra_spans)
+    df, view, rules, before = _prepared(df, text_col, detectors, dictionaries, extra_spans, apart)
     tags, multi, entities = F.col(TAGS), F.col(MULTI), F.col(ENTITIES)
     out = {
         "anonymized": rules.once("anonymized", lambda: rendered(view, rules, tags, multi)),

@@ -48,14 +48,19 @@ class Source:
 
 
 @lru_cache(maxsize=64)
-def _rules_of(application: str, detectors: tuple[str, ...] | None, dictionaries: Dictionaries) -> RuleSet:
-    return RuleSet(None if detectors is None else list(detectors), dictionaries)
+def _rules_of(application: str, detectors: tuple[str, ...] | None, dictionaries: Dictionaries, apart: bool) -> RuleSet:
+    return RuleSet(None if detectors is None else list(detectors), dictionaries, apart)
 
 
-def rules_for(detectors: list[str] | None = None, dictionaries: Dictionaries | None = None) -> RuleSet:
-    """The rule set of a call; calls with the same detectors and dictionaries share it and the columns built from it."""
+def rules_for(
+    detectors: list[str] | None = None, dictionaries: Dictionaries | None = None, apart: bool = False
+) -> RuleSet:
+    """The rule set of a call; calls with the same detectors and dictionaries share it and the columns built from it.
+
+    ``apart``: the texts hold several values, with what stands in ``__veil_apart`` between them.
+    """
     application = SparkContext._active_spark_context.applicationId
-    return _rules_of(application, None if detectors is None else tuple(detectors), dictionaries or Dictionaries())
+    return _rules_of(application, None if detectors is None else tuple(detectors), dictionaries or Dictionaries(), apart)
 
 
 class RuleSet:
@@ -70,8 +75,11 @@ class RuleSet:
             self._built[name] = build()
         return self._built[name]
 
-    def __init__(self, detectors: list[str] | None = None, dictionaries: Dictionaries | None = None):
+    def __init__(
+        self, detectors: list[str] | None = None, dictionaries: Dictionaries | None = None, apart: bool = False
+    ):
         self._built: dict[str, Column] = {}
+        self.apart = apart
         self.dictionaries = dictionaries or Dictionaries()
         self.builtins: list[Detector] = builtin_detectors(self.dictionaries.lists, detectors)
         self.sources = [
@@ -300,8 +308,8 @@ def resolve(spans: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------------------------ on a table
-TEXT, LOWER, CHUNKS, DIGIT, MARKED, RAW, SPANS = (
-    f"__veil_{n}" for n in ("text", "lower", "chunks", "digit", "marked", "raw", "spans")
+TEXT, LOWER, CHUNKS, DIGIT, MARKED, RAW, SPANS, APART = (
+    f"__veil_{n}" for n in ("text", "lower", "chunks", "digit", "marked", "raw", "spans", "apart")
 )
 
 
@@ -310,7 +318,7 @@ def same_length_lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("\u0130"), F.lit("I")))
 
 
-def with_view(df: DataFrame, text_col: str) -> tuple[DataFrame, TextView]:
+def with_view(df: DataFrame, text_col: str, apart: bool = False) -> tuple[DataFrame, TextView]:
     """Add the derived text columns. Blank text counts as empty."""
     df = df.withColumn(
         TEXT, F.when(is_not_blank(F.col(text_col)), F.col(text_col)).otherwise(F.lit(""))
@@ -323,7 +331,7 @@ def with_view(df: DataFrame, text_col: str) -> tuple[DataFrame, TextView]:
             MARKED: F.col(TEXT).contains(MARK),
         }
     )
-    return df, TextView(F.col(TEXT), F.col(LOWER), F.col(CHUNKS), F.col(DIGIT), F.col(MARKED))
+    return df, TextView(F.col(TEXT), F.col(LOWER), F.col(CHUNKS), F.col(DIGIT), F.col(MARKED), F.col(APART) if apart else None)
 
 
 def is_not_blank(text: Column) -> Column:
@@ -332,7 +340,7 @@ def is_not_blank(text: Column) -> Column:
 
 def with_raw_spans(df: DataFrame, text_col: str, rules: RuleSet, extra: Column | None = None) -> tuple[DataFrame, TextView]:
     """Every span of every source, before overlaps are resolved. ``extra`` may add spans found by a join."""
-    df, view = with_view(df, text_col)
+    df, view = with_view(df, text_col, rules.apart)
     parts = [
         rules.once("seed", lambda: seed_spans(view, rules)),
         rules.once("regex", lambda: regex_spans(view, rules)),

@@ -1,7 +1,7 @@
 """Redaction of the values of JSON texts: strings and numbers anywhere in the tree; structure, keys and all else kept.
 
-The values of a text are searched as one text with a separator that no detector's surroundings reach across, so each is
-judged alone while all share the text's numbering (an entity has one tag in every leaf). The plan is narrow: one pass that
+The values of a text are searched as one text with a separator that no detector's surroundings reach across (see
+``apart.py``), so each is judged alone while all share the text's numbering (an entity has one tag in every leaf). The plan is narrow: one pass that
 cuts the tokens, ``anonymize``, one pass that puts them back. Values in which nothing was found keep their very spelling,
 escapes included; a number that was found becomes a string with its tag.
 
@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.text import let, scan
-from spanveil.operators.redact import anonymize
+from spanveil.sources.apart import anonymize_joined, parts_of, with_joined
 
 TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+|-?[0-9][0-9.eE+-]*+'  # strings (keys with their colon) and numbers
-APART = "\n" + "\x1e" * 240 + "\n"  # wider than any detector looks
 TOKENS, GAPS, LEAVES, RAW_TEXT = "__veil_tokens", "__veil_gaps", "__veil_leaves", "__veil_joined"
 OTHERS = "__veil_others"  # the other columns, so that none clashes with those of a redaction
 
@@ -60,11 +59,10 @@ def anonymize_json(df: DataFrame, json_col: str, **options) -> DataFrame:
     )
     literal = F.array_join(F.transform(F.filter(TOKENS, _is_leaf), _quoted), ",")
     leaves = F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")
-    cut = cut.withColumn(LEAVES, leaves).withColumn(
-        RAW_TEXT, F.when(F.col(TOKENS).isNull(), F.col("__veil_json")).otherwise(F.array_join(LEAVES, APART))
-    )
-    done = anonymize(cut, RAW_TEXT, **options)
-    back = let(F.split("anonymized", r"\Q" + APART + r"\E", -1), _put_back)
+    plain = F.when(F.col(TOKENS).isNull(), F.col("__veil_json"))
+    cut = with_joined(cut.withColumn(LEAVES, leaves), RAW_TEXT, F.col(LEAVES), options.get("dictionaries"), alone=plain)
+    done = anonymize_joined(cut, RAW_TEXT, **options)
+    back = let(parts_of(F.col("anonymized")), _put_back)
     redacted = (
         F.when(F.col("__veil_json").isNull(), None)
         .when(F.col("count") == 0, F.col("__veil_json"))

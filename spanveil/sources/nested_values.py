@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.functions.text import let, scan
-from spanveil.operators.redact import anonymize
-from spanveil.sources.json_values import APART
+from spanveil.sources.apart import anonymize_joined, parts_of, with_joined
 
-STRINGS, NESTED, OTHERS = "__veil_strings", "__veil_nested", "__veil_others"
+LISTED, STRINGS, NESTED, OTHERS = "__veil_listed", "__veil_strings", "__veil_nested", "__veil_others"
 
 
 def has_strings(kind: T.DataType) -> bool:
@@ -75,12 +74,11 @@ def anonymize_nested(df: DataFrame, column: str, **options) -> DataFrame:
     kind, made = df.schema[column].dataType, ["entity_map", "count", "detected_types", "entities"]
     others = F.struct(F.lit(0).alias("__veil"), *[F.col(f"`{c}`") for c in df.columns if c not in (column, *made)])
     value = F.col(NESTED)
-    listed = df.select(others.alias(OTHERS), F.col(f"`{column}`").alias(NESTED)).withColumn(
-        STRINGS, F.array_join(strings_of(value, kind), APART)
-    )
-    done = anonymize(listed, STRINGS, **options)
+    # A null string is no value: it is left out here and stays null where it is put back.
+    listed = df.select(others.alias(OTHERS), F.col(f"`{column}`").alias(NESTED)).withColumn(LISTED, strings_of(value, kind))
+    done = anonymize_joined(with_joined(listed, STRINGS, F.col(LISTED), options.get("dictionaries")), STRINGS, **options)
     back = let(
-        F.split("anonymized", r"\Q" + APART + r"\E", -1),
+        parts_of(F.col("anonymized")),
         lambda parts: put_back(value, kind, parts, F.lit(0).cast("bigint")),
     )
     redacted = F.when(F.col("count") == 0, value).otherwise(back)
