@@ -78,8 +78,21 @@ def numbered(view: TextView, rules: RuleSet, spans: Column) -> Column:
             ),
         )
 
+    def alone(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda s: F.struct(
+                s["start"].alias("start"), s["len"].alias("len"), s["seq"].alias("seq"), rules.kind_index(s["seq"]).alias("kind"),
+                s["start"].alias("first"), F.lit(1).alias("n"), view.slice(s["start"], s["len"]).alias("value"),
+            ),
+        )
+
     grouped = let(F.array_sort(keyed), with_first)
-    return F.array_sort(let(F.array_sort(grouped), with_number))
+    kinds = F.array_distinct(F.transform(spans, lambda s: rules.kind_index(s["seq"])))
+    # The only span of its type is the first of its entity and number 1: nothing to group.
+    return F.when(F.size(kinds) == F.size(spans), alone(F.array_sort(spans))).otherwise(
+        F.array_sort(let(F.array_sort(grouped), with_number))
+    )
 
 
 def tag_text(rules: RuleSet, kind: Column, n: Column, multi: Column) -> Column:

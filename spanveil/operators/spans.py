@@ -304,7 +304,19 @@ def resolve(spans: Column) -> Column:
         )
         return keep_where(ordered, flags)
 
-    return F.when(F.size(spans) > 1, let(F.array_sort(spans), chosen)).otherwise(spans)
+    def apart(ordered: Column) -> Column:
+        """Whether none overlaps the next: then all stay, and the scan is spared."""
+        return F.forall(
+            F.transform(
+                ordered, lambda x, i: (i == 0) | (x["start"] >= F.get(ordered, i - 1)["start"] + F.get(ordered, i - 1)["len"])
+            ),
+            lambda fits: fits,
+        )
+
+    def kept(ordered: Column) -> Column:
+        return F.when(apart(ordered), ordered).otherwise(chosen(ordered))
+
+    return F.when(F.size(spans) > 1, let(F.array_sort(spans), kept)).otherwise(spans)
 
 
 # ------------------------------------------------------------------------------------------------ on a table

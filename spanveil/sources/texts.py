@@ -14,6 +14,7 @@ from spanveil.operators.redact import anonymize
 
 
 FEW_SPLITS = 8
+ROWS_A_TASK = 500_000  # detectors take up to a millisecond a row, so a task takes minutes at most
 
 
 def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
@@ -24,14 +25,19 @@ def read_texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A parquet table; one of very few splits (``FEW_SPLITS``, so about 1 GB at most, whatever the cluster) is spread by
-    ``key`` so that text work is parallel. All others are read as they are, without a shuffle.
+    """A parquet table; with ``key`` it is spread if its rows need more splits (one for each ``ROWS_A_TASK``, counted from the
+    files' footers) or it has very few (``FEW_SPLITS``), so that text work is parallel and no task grows with the table: a
+    split of narrow, well compressed rows can hold millions. Rows go by ``key``, or in turn where there are more tasks than
+    cores, whatever the keys. All others, such as tables of long texts, are read as they are, without a shuffle.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if key is not None and df.rdd.getNumPartitions() < min(cores, FEW_SPLITS):
-        return df.repartition(cores, key)
-    return df
+    if key is None:
+        return df
+    cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    needed = -(-df.count() // ROWS_A_TASK)
+    if splits >= max(needed, min(cores, FEW_SPLITS)):
+        return df
+    return df.repartition(needed) if needed > cores else df.repartition(cores, key)
 
 
 def anonymize_columns(df: DataFrame, text_cols: list[str], **options) -> DataFrame:
