@@ -6,9 +6,10 @@ stripe and every ``row_stride`` rows, and a Bloom filter on ``doc_id``, so a rea
 lookup by id skips the stripes and row groups that can't hold it. Each row also holds its part and the ids before it in
 that part; with one sum per part this gives the place of a document among all ids without sorting anything again.
 
-Encoding is the tokenizers library's. The split before its merges never crosses a single blank or line feed between
-other characters, so such texts are cut there and the pieces' ids remembered (a bounded table per worker); all other
-texts, and those with the end token's name in them, go to the library whole.
+Encoding is the tokenizers library's. The split before its merges never crosses the place before a run of blanks and line
+feeds, nor that between an ASCII letter and another ASCII character, so texts are cut there; each distinct piece of a
+batch is encoded once, and pieces' ids are remembered (a bounded table per worker). Texts with other white space, and
+those with the end token's name in them, go to the library whole.
 
 Nulls and ties: a null text is empty and has the end id only; null ids come first and are written as null; repeated ids
 are ordered by their text's digest, equal rows are interchangeable. An empty table gives empty files and no rows.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import array
 import functools
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.llm.common import column, text_of
+from spanveil.llm.common import column, setting, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 500_000
-ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
+CACHED_PIECES, CACHED_CHARS = 340_000, 48  # remembered by a worker, and their longest
+ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2 << 20
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -45,13 +47,15 @@ SCHEMA = T.StructType(
     ]
 )
 _ENCODED = T.StructType([SCHEMA["doc_id"], SCHEMA["part"], SCHEMA["before"], SCHEMA["n_tokens"], SCHEMA["ids"]])
-_BLANKS = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029)]
-_BLANKS += ["\u202f", "\u205f", "\u3000"]
-_ODD = [*(b for b in _BLANKS if b not in " \n"), "  ", " \n", "\n ", "\n\n", "<|"]  # such texts aren't cut
+# texts with other blanks than " " and "\n", or perhaps with the end token's name, aren't cut
+_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
+_BYTES = np.arange(256)
+_BLANK, _LETTER = np.isin(_BYTES, (10, 32)), np.isin(_BYTES | 32, range(97, 123)) & (_BYTES < 128)
+_OTHER = (_BYTES < 128) & ~_LETTER
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, the library's own, with a bounded table of the pieces met so far."""
+    """Ids of whole texts, the library's own, with a bounded table of the pieces met so far."""
 
     def __init__(self, path: str):
         import regex
@@ -62,38 +66,69 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in set(plain))
         shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}  # the byte-level alphabet
+        blank = chr(shown[32])
 
         def ids_of(piece: str) -> bytes:
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isascii() and word.isalpha():  # one word for the split too
+                return array.array("I", [t.id for t in tokenize(word if word is piece else blank + word)]).tobytes()
+            if _ODD.search(piece):
+                return array.array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
             found = array.array("I")
             for word in split(piece):
                 found.extend([t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))])
             return found.tobytes()
 
-        class Pieces(dict):
-            def __init__(self, lead: str):
-                self.lead = lead
-
-            def __missing__(self, piece: str):
-                if len(self) >= CACHED_PIECES:
-                    self.clear()
-                self[piece] = found = ids_of(self.lead + piece)
-                return found
-
-        self.first, self.later, self.line = Pieces(""), Pieces(" "), ids_of("\n")
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or any(s in text for s in _ODD):
-            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        first, later, parts = self.first, self.later, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(first[words[0]])
-            parts += [later[w] for w in words[1:]]
-            parts.append(self.line)
-        parts.pop()
-        return b"".join(parts)
+        self.ids_of, self.young, self.old = ids_of, {}, {}
+
+    def pieces_ids(self, pieces: np.ndarray) -> list[bytes]:
+        """Ids of each piece. The table has two generations: when the young one is full it replaces the old one, so what
+        is met often stays. Long pieces are not remembered."""
+        young, old, found = self.young, self.old, []
+        for piece in pieces:
+            ids = young.get(piece)
+            if ids is None:
+                ids = old.get(piece) or self.ids_of(piece)
+                if len(piece) <= CACHED_CHARS:
+                    if len(young) >= CACHED_PIECES // 2:
+                        self.old, self.young = old, young = young, {}
+                    young[piece] = ids
+            found.append(ids)
+        return found
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id behind, and the number of ids up to and with each text."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+        data = texts.buffers()[2] or pa.py_buffer(b"")
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets - offsets[0]
+        at = np.flatnonzero(cuts(raw, starts, pc.match_substring_regex(texts, _ODD.pattern).to_numpy(zero_copy_only=False)))
+        edges = pa.py_buffer(np.append(at, len(raw)).astype(np.int32))
+        pieces = pa.StringArray.from_buffers(len(at), edges, data.slice(int(offsets[0]), len(raw))).dictionary_encode()
+        found = self.pieces_ids(pieces.dictionary.to_numpy(zero_copy_only=False))
+        found.append(np.uint32(end_id).tobytes())
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
+        last = np.searchsorted(at, starts[1:])  # the end id goes before the first piece of the next text
+        which = np.insert(pieces.indices.to_numpy(), last, len(found) - 1)
+        n_ids = sizes[which]
+        ends = np.cumsum(n_ids, dtype=np.int32)
+        place = np.repeat(firsts[which] - ends + n_ids, n_ids)
+        place += np.arange(len(place), dtype=np.int32)
+        values = np.frombuffer(b"".join(found), np.int32)[place]
+        return values, ends[last + np.arange(n)]
+
+
+def cuts(raw: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte. ``starts``: first byte of each text and the end; ``whole``: texts left uncut."""
+    blank, letter = _BLANK[raw], _LETTER[raw]
+    begins = np.zeros(len(raw), bool)
+    begins[1:] = (blank[1:] & ~blank[:-1]) | (letter[:-1] & _OTHER[raw[1:]])
+    for k in np.flatnonzero(whole):
+        begins[starts[k] : starts[k + 1]] = False
+    begins[starts[:-1][starts[:-1] < starts[1:]]] = True
+    return begins
 
 
 @functools.lru_cache(2)
@@ -120,13 +155,12 @@ def encoded(docs: DataFrame, id_column: str, text_column: str, tokenizer: str, e
     path = public_tokenizers.path(tokenizer)
 
     def encode(batches):
-        coder, before, end = encoder(path), 0, np.uint32(end_id).tobytes()
+        coder, before = encoder(path), 0
+        pa.default_memory_pool().release_unused()  # what earlier steps left to a reused worker
         for whole in batches:
             for batch in _slices(whole, 2):
-                ids = [coder.ids(t) + end for t in batch.column(2).to_pylist()]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends = np.cumsum(sizes)
-                values = np.frombuffer(b"".join(ids), np.int32)
+                values, ends = coder.ids(batch.column(2), end_id)
+                sizes = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), pa.array(before + ends - sizes), pa.array(sizes),
@@ -156,18 +190,20 @@ def write_token_files(
     row_stride: int = 10_000,
     bloom_fpp: float = 0.01,
 ) -> None:
-    (
-        encoded(docs, id_column, text_column, tokenizer, end_id)
-        .write.mode("errorifexists")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", str(bloom_fpp))
-        .option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(row_stride))
-        .option("orc.stripe.size", str(stripe_bytes))
-        .option("orc.encoding.strategy", "COMPRESSION")
-        .option("compression", "zstd")
-        .orc(path)
-    )
+    # few rows at once: a batch of whole texts stands in the executor's and the worker's memory at the same time
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE)):
+        (
+            encoded(docs, id_column, text_column, tokenizer, end_id)
+            .write.mode("errorifexists")
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", str(bloom_fpp))
+            .option("orc.create.index", "true")
+            .option("orc.row.index.stride", str(row_stride))
+            .option("orc.stripe.size", str(stripe_bytes))
+            .option("orc.encoding.strategy", "COMPRESSION")
+            .option("compression", "zstd")
+            .orc(path)
+        )
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from spanveil.llm import token_files as tf
@@ -46,3 +48,29 @@ def test_lookup_is_pushed_down(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert tf.token_index(spark, written(spark, tmp_path, [])).count() == 0
+
+
+def test_cuts_keep_the_library_ids():
+    """Texts of every neighbourhood of letters, blanks, marks and digits, many to an array, with a table that overflows."""
+    rng = random.Random(7)
+    marks = ["a", "Bc", "é", "ß", "日本", "Ж", " ", " ", "  ", "\n", "\n\n", ".", ",", "'s", "'", "’", "1", "23", "<|", "<|endoftext|>", "\t", "\xa0", " ", "-", "_", "\x7f", "😀"]
+    texts = ["".join(rng.choice(marks[:-9] if k % 2 else marks) for _ in range(rng.randrange(30))) for k in range(4000)]
+    texts += ["", "a", " ", "\n", *ODD]
+    library = Tokenizer.from_file(public_tokenizers.path(tf.TOKENIZER))
+    coder = tf.Encoder(public_tokenizers.path(tf.TOKENIZER))
+    for part in (pa.array(texts), pa.array(["skipped", *texts, "skipped"])[1:-1], pa.array([], pa.string())):
+        values, ends = coder.ids(part, 0)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in part.to_pylist()]
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist() and values.tolist() == sum(want, [])
+
+
+def test_the_table_of_pieces_is_bounded_and_keeps_frequent_pieces(monkeypatch):
+    """Failed before: one table was emptied when full, and every frequent piece encoded anew."""
+    monkeypatch.setattr(tf, "CACHED_PIECES", 200)
+    coder, asked = tf.Encoder(public_tokenizers.path(tf.TOKENIZER)), []
+    ids_of = coder.ids_of
+    coder.ids_of = lambda piece: asked.append(piece) or ids_of(piece)
+    for k in range(50):
+        coder.ids(pa.array([f"often {k}word{k}", "often " * 3 + " ".join(f"x{'abcdefghij'[d]}{k}y" for d in range(10))] * 20), 0)
+        assert len(coder.young) + len(coder.old) <= 200
+    assert asked.count("often") == asked.count(" often") == 1
