@@ -74,3 +74,13 @@ def test_the_table_of_pieces_is_bounded_and_keeps_frequent_pieces(monkeypatch):
         coder.ids(pa.array([f"often {k}word{k}", "often " * 3 + " ".join(f"x{'abcdefghij'[d]}{k}y" for d in range(10))] * 20), 0)
         assert len(coder.young) + len(coder.old) <= 200
     assert asked.count("often") == asked.count(" often") == 1
+
+
+def test_few_rows_are_in_memory_at_once(spark, tmp_path, monkeypatch):
+    """Failed before: batches of 10,000 whole texts stood in the executor and in its workers."""
+    name, asked, encoded = "spark.sql.execution.arrow.maxRecordsPerBatch", [], tf.encoded
+    before = spark.conf.get(name)
+    monkeypatch.setattr(tf, "encoded", lambda *a: asked.append(int(spark.conf.get(name))) or encoded(*a))
+    path = written(spark, tmp_path, [(k, prose(k, 3)) for k in range(2500)])
+    assert asked == [tf.ROWS_AT_ONCE] and tf.ROWS_AT_ONCE <= 1000 and spark.conf.get(name) == before
+    assert tf.token_index(spark, path).count() == 2500
